@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from flowquarry.plans import filequeries
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _part in (filequeries,):
+    QUERIES |= _part.QUERIES
+    SQL |= _part.SQL
