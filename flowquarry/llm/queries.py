@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowquarry.llm import calibrate, mixing, packing
 from flowquarry.llm.overlap import near_record_overlaps, overlap_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +44,113 @@ def p2_overlap_report(spark: SparkSession, sf: str) -> DataFrame:
     flows = table(spark, sf, "flows")
     report = overlap_report(flows, near_record_overlaps(flows, features=FEATURES))
     return report.where("split in ('val', 'test')")
+
+
+# --- 4: sample matching target category proportions
+
+
+def _flow_categories(spark: SparkSession, sf: str) -> DataFrame:
+    families = table(spark, sf, "label_family").select(F.lower(F.trim("label")).alias("norm"), F.col("family").alias("category"))
+    flows = table(spark, sf, "flows").select(F.col("flow_id").alias("id"), F.col("source_file").alias("group_key"), calibrate.normalized_label(F.col("label")).alias("norm"))
+    return flows.join(F.broadcast(families), "norm").drop("norm")  # one row per label
+
+
+def _plans(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "sample_plan").select("plan_no", F.col("source_file").alias("group_key"), F.col("family").alias("category"), "target_share", "sample_rows", "min_rows")
+
+
+@query
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    cal = calibrate.calibrated_plans(_flow_categories(spark, sf), _plans(spark, sf))
+    return cal.where("short").select("plan_no", F.col("category").alias("family"))
+
+
+_NORM = r"lower(trim(regexp_replace(regexp_replace({}, '[\s\x{{00A0}}]*[–—\x{{FFFD}}\x{{0096}}][\s\x{{00A0}}]*', ' - ', 'g'), '[\s\x{{00A0}}]+', ' ', 'g')))"
+SQL["p4_found"] = f"""
+with have as (
+  select f.source_file, l.family, count(*) as n
+  from flows f join label_family l on lower(trim(l.label)) = {_NORM.format('f.label')}
+  group by all
+)
+select p.plan_no, p.family
+from sample_plan p left join have h on h.source_file = p.source_file and h.family = p.family
+where p.target_share * p.sample_rows > coalesce(h.n, 0) or p.min_rows > coalesce(h.n, 0)
+"""
+
+
+@query
+def p4_sample(spark: SparkSession, sf: str) -> DataFrame:
+    records = _flow_categories(spark, sf)
+    cal = calibrate.calibrated_plans(records, _plans(spark, sf))
+    return calibrate.pivotal_sample(records, cal)
+
+
+@query
+def p4_report(spark: SparkSession, sf: str) -> DataFrame:
+    records = _flow_categories(spark, sf)
+    cal = calibrate.calibrated_plans(records, _plans(spark, sf))
+    return calibrate.sample_report(cal, calibrate.pivotal_sample(records, cal))
+
+
+# --- 7: filling containers
+
+_TOKENS = r"coalesce(len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s\p{{Z}}\x1c-\x1f\x85]+')), 0)"
+
+
+def _packed(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf, "documents"), table(spark, sf, "containers"))
+
+
+@query
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _packed(spark, sf).where("pieces > 1").select("doc_id").distinct()
+
+
+SQL["p7_found"] = f"""
+with d as (select doc_id, lower(trim(lang)) as lang, {_TOKENS.format('text')} as tokens from documents)
+select d.doc_id
+from d left join containers c on c.lang = d.lang, (select capacity from containers where lang = 'und') u
+where d.tokens > coalesce(c.capacity, u.capacity)
+"""
+
+
+@query
+def p7_pack(spark: SparkSession, sf: str) -> DataFrame:
+    return _packed(spark, sf)
+
+
+@query
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packing_report(_packed(spark, sf))
+
+
+# --- 8: mixing sources
+
+
+def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf, "documents")
+    rates = mixing.mix_rates(docs, table(spark, sf, "mix_targets"))
+    return rates, mixing.mixed_documents(docs, rates)
+
+
+@query
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_report(*_mixed(spark, sf)).where("short").select("mix_no", "source")
+
+
+SQL["p8_found"] = f"""
+with s as (select lower(trim(source)) as source, sum({_TOKENS.format('text')}) as tokens from documents where source is not null group by 1)
+select m.mix_no, m.source
+from mix_targets m left join s on s.source = lower(trim(m.source))
+where coalesce(s.tokens, 0) * m.max_repeats < m.target_share * m.total_tokens
+"""
+
+
+@query
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed(spark, sf)[1]
+
+
+@query
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_report(*_mixed(spark, sf))
