@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquarry.llm import calibrate, mixing, packing
+from flowquarry.llm import calibrate, mixing, packing, percentiles
 from flowquarry.llm.overlap import near_record_overlaps, overlap_report
+from flowquarry.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -154,3 +155,30 @@ def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_report(*_mixed(spark, sf))
+
+
+# --- 1: percentiles
+
+MEASURES = ["Flow Bytes/s", "Flow Duration", "Flow IAT Mean"]
+PROBS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+
+
+def _states(spark: SparkSession, sf: str) -> DataFrame:
+    return percentiles.sketch_states(table(spark, sf, "batch"), {"source": F.col("source"), "day": F.to_date("created_at")}, MEASURES)
+
+
+@query
+def p1_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """By source and day, source, day, and over all; part says which."""
+    base = stored(_states(spark, sf))
+    none = lambda kind: F.lit(None).cast(kind)
+    unions = {"source": {"source": F.col("source"), "day": none("date")}, "day": {"source": none("string"), "day": F.col("day")}, "all": {"source": none("string"), "day": none("date")}}
+    out = percentiles.percentiles(base, PROBS).withColumn("part", F.lit("source, day"))
+    for part, by in unions.items():
+        out = out.unionByName(percentiles.percentiles(percentiles.merge_states(base, by), PROBS).withColumn("part", F.lit(part)))
+    return out
+
+
+@query
+def p1_states(spark: SparkSession, sf: str) -> DataFrame:
+    return _states(spark, sf)
