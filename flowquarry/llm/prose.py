@@ -1,0 +1,130 @@
+"""A line model of running text: which pairs of neighbouring tokens belong to prose, learned from labelled documents.
+
+Tokens are words in lower case, numbers, signs and line breaks; words that few labelled documents have share one
+symbol. Pairs of tokens and pairs of their shapes (capital, lower case, number, the sign itself) are hashed to a table
+of log odds of fixed size. Pairs that no second labelled document has share one value: the odds of such pairs
+themselves. Labels are of whole documents, so the lines' classes are found by expectation maximisation.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections.abc import Sequence
+
+import numpy as np
+
+#: Size of the table of log odds, as a power of two.
+TABLE_BITS = 20
+SIZE = 1 << TABLE_BITS
+_TOKEN = re.compile(r"\n|[^\W\d_]+|\d+|[^\w\s]|_")
+_RARE_WORD, _NUMBER, _BREAK = 1, 2, 3
+
+
+def _shape(t: str) -> int:
+    if t == "\n":
+        return 3
+    c = t[0]
+    if c.isdigit():
+        return 4 if len(t) < 3 else 5
+    if c.isalpha():
+        return 6 if len(t) == 1 else 7 if t.isupper() else 8 if c.isupper() else 9
+    return 16 + zlib.crc32(t.encode()) % 240
+
+
+class LineModel:
+    """Log odds of not being prose, for each line of a text."""
+
+    def __init__(self, words: frozenset[str], pairs: np.ndarray, rare: float, bias: float):
+        self.words, self.pairs, self.rare, self.bias = words, pairs, rare, bias
+        self._memo: dict[str, tuple[int, int]] = {}
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_memo"}
+
+    def __setstate__(self, s: dict) -> None:
+        self.__dict__.update(s, _memo={})
+
+    def symbols(self, tokens: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        memo = self._memo
+        if len(memo) > 200_000:
+            memo.clear()
+        out = []
+        for t in tokens:
+            s = memo.get(t)
+            if s is None:
+                low = t.lower()
+                c = t[0]
+                code = _BREAK if t == "\n" else _NUMBER if c.isdigit() else _RARE_WORD if c.isalpha() and low not in self.words else 16 + zlib.crc32(low.encode())
+                s = memo[t] = (code, _shape(t))
+            out.append(s)
+        a = np.array(out, np.int64).reshape(-1, 2)
+        return a[:, 0], a[:, 1]
+
+    def slots(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slots of the text's token pairs (words, then shapes) and the line of each pair."""
+        tokens = ["\n", *_TOKEN.findall(text), "\n"]
+        word, shape = self.symbols(tokens)
+        line = np.cumsum(word == _BREAK) - 1
+        mix = lambda a, b, k: ((((a * np.int64(1_000_003) + b) * np.int64(2_654_435_761) + k) >> np.int64(7)) & np.int64(SIZE - 1))
+        with np.errstate(over="ignore"):
+            pairs, shapes = mix(word[:-1], word[1:], 1), mix(shape[:-1], shape[1:], 2)
+        return pairs, shapes, line[:-1]
+
+    def line_odds(self, text: str) -> np.ndarray:
+        pairs, shapes, line = self.slots(text)
+        odds = self.pairs[pairs] + self.pairs[shapes]
+        return np.bincount(line, weights=odds) + self.bias
+
+    def share(self, text: str) -> tuple[float, float]:
+        """Expected share of the characters (without white space at line ends) in lines that are no prose, and in repeated lines.
+
+        Lines that come three times or more, and texts of few different token triples, say nothing new: no prose.
+        """
+        lines = [x.strip() for x in text.split("\n")]
+        size = np.array([len(x) for x in lines], float)
+        total = size.sum()
+        if not total:
+            return 1.0, 0.0
+        odds = self.line_odds(text)[: len(lines)]
+        junk = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        seen: dict[str, int] = {}
+        for x in lines:
+            seen[x] = seen.get(x, 0) + 1
+        again = np.array([seen[x] > 2 for x in lines])
+        words = text.lower().split()
+        if len(words) >= 30 and len(set(zip(words, words[1:], words[2:]))) < 0.3 * len(words):
+            again[:] = True
+        junk[again] = 1.0
+        return float((size * junk).sum() / total), float(size[again].sum() / total)
+
+
+def fit_line_model(texts: Sequence[str], junk: Sequence[float], *, rounds: int = 3, least_documents: int = 3, damp: float = 0.5) -> LineModel:
+    """junk: the share of a document's readers who say that it is not prose."""
+    df: dict[str, int] = {}
+    for t in texts:
+        for w in {x.lower() for x in _TOKEN.findall(t) if x[0].isalpha()}:
+            df[w] = df.get(w, 0) + 1
+    model = LineModel(frozenset(w for w, n in df.items() if n >= least_documents), np.zeros(SIZE, np.float32), 0.0, 0.0)
+    parts = [model.slots(t) for t in texts]
+    docs = np.zeros(SIZE, np.int32)
+    for p, s, _ in parts:
+        docs[np.unique(np.concatenate([p, s]))] += 1
+    seen = docs >= 2
+    prior = [2.5 * (2 * j - 1) for j in junk]
+    odds = [np.full(int(line.max()) + 1 if len(line) else 1, q) for (_, _, line), q in zip(parts, prior)]
+    for _ in range(rounds):
+        no, yes = np.zeros(SIZE), np.zeros(SIZE)
+        for (p, s, line), o in zip(parts, odds):
+            w = 1 / (1 + np.exp(-np.clip(o, -30, 30)))
+            for slot in (p, s):
+                np.add.at(no, slot, w[line])
+                np.add.at(yes, slot, 1 - w[line])
+        total_no, total_yes = no.sum(), yes.sum()
+        scale = np.log((total_yes + 1) / (total_no + 1))
+        table = np.log((no + 0.3) / (yes + 0.3)) + scale
+        rare = float(np.log((no[~seen].sum() + 1) / (yes[~seen].sum() + 1)) + scale)
+        model.pairs = (damp * np.where(seen, np.clip(table, -4, 4), rare)).astype(np.float32)
+        model.rare = rare
+        odds = [np.bincount(line, weights=model.pairs[p] + model.pairs[s]) + q for (p, s, line), q in zip(parts, prior)]
+    return model

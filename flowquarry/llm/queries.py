@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquarry.llm import calibrate, mixing, packing, percentiles
+from flowquarry.llm import calibrate, mixing, packing, percentiles, textquality
 from flowquarry.llm.overlap import near_record_overlaps, overlap_report
 from flowquarry.session import stored
 
@@ -182,3 +182,20 @@ def p1_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p1_states(spark: SparkSession, sf: str) -> DataFrame:
     return _states(spark, sf)
+
+
+# --- 9: text quality
+
+
+def _quality(spark: SparkSession, sf: str) -> DataFrame:
+    return textquality.quality_scores(table(spark, sf, "documents"), table(spark, sf, "doc_labels"), table(spark, sf, "common_words"))
+
+
+@query
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _quality(spark, sf).where("not_prose >= 0.5").select("doc_id")
+
+
+@query
+def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return _quality(spark, sf)
