@@ -99,7 +99,7 @@ class LineModel:
         return float((size * junk).sum() / total), float(size[again].sum() / total)
 
 
-def fit_line_model(texts: Sequence[str], junk: Sequence[float], *, rounds: int = 3, least_documents: int = 3, damp: float = 0.5) -> LineModel:
+def fit_line_model(texts: Sequence[str], junk: Sequence[float], *, rounds: int = 3, least_documents: int = 3, damp: float = 1.0) -> LineModel:
     """junk: the share of a document's readers who say that it is not prose."""
     df: dict[str, int] = {}
     for t in texts:
