@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from flowquarry.plans import filequeries
+from flowquarry.plans import filequeries, flowqueries, modelqueries, starqueries
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _part in (filequeries,):
+for _part in (filequeries, flowqueries, starqueries, modelqueries):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL
