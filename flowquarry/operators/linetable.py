@@ -137,7 +137,7 @@ def chunked_lines(raw: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     lines = raw.select(F.col("file_no").cast("long"), F.col("line_no").cast("int"), F.coalesce("line_text", F.lit("")).alias("line_text")).where("file_no is not null and line_no is not null")
     last = lines.groupBy("file_no").agg(F.floor(F.max("line_no") / chunk).cast("int").alias("last"))
     body = lines.where("line_no <> 1").withColumn("chunk", F.floor(F.col("line_no") / chunk).cast("int")).withColumn("chunks", F.lit(None).cast("int"))
-    head = lines.where("line_no = 1").join(last, "file_no").withColumn("chunk", F.explode(F.sequence(F.lit(0), "last"))).select("file_no", "line_no", "line_text", "chunk", (F.col("last") + 1).alias("chunks"))
+    head = lines.where("line_no = 1").join(last.hint("merge"), "file_no").withColumn("chunk", F.explode(F.sequence(F.lit(0), "last"))).select("file_no", "line_no", "line_text", "chunk", (F.col("last") + 1).alias("chunks"))
     return body.unionByName(head).repartition("file_no", "chunk").sortWithinPartitions("file_no", "chunk", "line_no")
 
 

@@ -28,14 +28,14 @@ def column_profiles(files: Files) -> DataFrame:
     kept = hashes.withColumn("r", rank).where(F.col("r") <= KMV).groupBy("file_no", "position").agg(F.count("*").alias("k"), F.max("h").alias("top"))
     share = (F.col("top").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
     est = F.when(F.col("k") < KMV, F.col("k")).otherwise(F.round((KMV - 1) / share)).cast("long")
-    return out.join(kept.select("file_no", "position", est.alias("distinct")), ["file_no", "position"], "left").withColumn("distinct", F.coalesce("distinct", F.lit(0))).drop("position")
+    return out.join(kept.select("file_no", "position", est.alias("distinct")).hint("merge"), ["file_no", "position"], "left").withColumn("distinct", F.coalesce("distinct", F.lit(0))).drop("position")
 
 
 def quality_issues(files: Files) -> DataFrame:
     """(file_no, column_name, issue): unparseable, infinite, range, pattern, and missing, constant, shift against the file before."""
     ranges = files.columns.sparkSession.createDataFrame([(f, d.get("least"), d.get("most"), d.get("kind") == "timestamp") for f, d in files.known.items()], "field string, lo double, hi double, is_time boolean")
     fields = files.links.where("name is not null").select("file_no", "prev_file_no", "name", "prev_name", "field", "listed")
-    cols = files.columns.join(fields, ["file_no", "name"]).join(F.broadcast(ranges), "field", "left")  # the dictionary is of fixed size
+    cols = files.columns.join(fields.hint("merge"), ["file_no", "name"]).join(F.broadcast(ranges), "field", "left")  # the dictionary is of fixed size
     number = F.col("kind").isin("whole", "decimal") & ~F.coalesce("is_time", F.lit(False))
     bad = F.col("texts") + F.col("timestamps")
     now = cols.select(
@@ -43,7 +43,7 @@ def quality_issues(files: Files) -> DataFrame:
         F.coalesce(number, F.lit(False)).alias("number"), bad.alias("bad"), F.try_divide(F.col("missing") + bad, F.col("lines")).alias("share"),
     )
     old = now.select(*[F.col(c).alias(f"o_{c}") for c in ("number", "share", "finite", "least", "most", "median")], F.col("file_no").alias("prev_file_no"), F.col("name").alias("prev_name"))
-    both = now.join(old, ["prev_file_no", "prev_name"], "left")
+    both = now.join(old.hint("merge"), ["prev_file_no", "prev_name"], "left")
     pair = F.col("number") & F.coalesce("o_number", F.lit(False))
     tests = {
         "unparseable": F.col("number") & (F.col("bad") * 20 > F.col("lines")),

@@ -21,7 +21,7 @@ def judged_lines(files: Files) -> DataFrame:
     words = marks.groupBy("file_no", "word").agg(F.coalesce(F.bit_or(F.when(F.col("num"), one).otherwise(bit * 0)), F.lit(0)).alias("n"), F.coalesce(F.bit_or(F.when(F.col("time"), one).otherwise(bit * 0)), F.lit(0)).alias("t"))
     masks = words.groupBy("file_no").agg(F.array_sort(F.collect_list(F.struct("word", "n", "t"))).alias("w"))
     masks = masks.select("file_no", F.transform("w", lambda x: x["n"]).alias("number_words"), F.transform("w", lambda x: x["t"]).alias("time_words"))
-    both = files.lines.join(masks, "file_no", "left")
+    both = files.lines.join(masks.hint("merge"), "file_no", "left")
     hit = lambda a, b: F.exists(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y) != 0), lambda x: x)
     value = F.coalesce(~F.col("label_ok") | hit("no_number", "number_words") | hit("no_time", "time_words"), F.lit(False))
     return both.select("file_no", "line_no", F.coalesce("reason", F.when(value, "value")).alias("reason"), "cells")
@@ -37,4 +37,4 @@ def load_balance(files: Files, reports: DataFrame) -> DataFrame:
     count = lambda r: F.count_if(F.coalesce("reason", F.lit("loaded")) == r)
     per = j.groupBy("file_no").agg(F.count("*").alias("lines"), count("loaded").alias("loaded"), count("blank").alias("blank"), count("header").alias("header"), count("quoting").alias("quoting"), count("columns").alias("columns"), count("value").alias("value"))
     rep = reports.where("file_no is not null").groupBy("file_no").agg(F.max("data_lines").alias("data_lines"), F.max("rows").alias("reported_rows"))
-    return per.join(rep, "file_no", "left")
+    return per.join(rep.hint("merge"), "file_no", "left")

@@ -3,7 +3,8 @@
 Every file's header and cells are inferred on their own (a field's type is the tagged union of the kinds found in
 its files), neighbouring files of a sensor are matched field by field, and each field keeps one typed branch per
 kind plus a canonical conversion. Files meet their predecessor through an equi-join on (sensor, seq - 1), so a
-sensor with very many files is no group of its own.
+sensor with very many files is no group of its own. Joins of tables that grow with the files are merge joins by hint:
+their columns compress so well that the sizes by which Spark decides to broadcast say little about memory.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def exact_medians(columns: DataFrame, stats: DataFrame) -> DataFrame:
         return columns
     split = stats.where("chunks > 1").select("file_no", "position", F.explode("values").alias("v"))
     exact = exact_quantiles(split, ["file_no", "position"], "v", [0.5]).select("file_no", "position", F.col("quantile").alias("exact"))
-    return columns.join(exact, ["file_no", "position"], "left").withColumn("median", F.when(F.col("chunks") > 1, F.col("exact")).otherwise(F.col("median"))).drop("exact")
+    return columns.join(exact.hint("merge"), ["file_no", "position"], "left").withColumn("median", F.when(F.col("chunks") > 1, F.col("exact")).otherwise(F.col("median"))).drop("exact")
 
 
 def match_names(before: Sequence[str], now: Sequence[str], fields: Fields) -> dict[str, str]:
@@ -83,9 +84,9 @@ def link_columns(columns: DataFrame, reports: DataFrame, known: Mapping[str, Seq
     """
     headers = columns.groupBy("file_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda x: x["name"]).alias("names"))
     place = reports.where("file_no is not null").groupBy("file_no").agg(F.max("sensor").alias("sensor"), F.max("seq").alias("seq"))
-    files = headers.join(place, "file_no", "left")
+    files = headers.join(place.hint("merge"), "file_no", "left")
     before = files.where("sensor is not null and seq is not null").groupBy("sensor", (F.col("seq") + 1).alias("seq")).agg(F.min_by(F.struct(F.col("file_no").alias("prev_file_no"), F.col("names").alias("before")), "file_no").alias("p")).select("sensor", "seq", "p.*")
-    pairs = files.join(before, ["sensor", "seq"], "left").select("file_no", "names", "prev_file_no", "before")
+    pairs = files.join(before.hint("merge"), ["sensor", "seq"], "left").select("file_no", "names", "prev_file_no", "before")
 
     def link(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fields = Fields(known)
@@ -119,17 +120,17 @@ def resolve_kinds(columns: DataFrame, links: DataFrame) -> DataFrame:
     """
     known = columns.where("observed is not null").select("file_no", "name", F.col("observed").alias("kind"))
     blank = columns.where("observed is null").select("file_no", "name")
-    open_ = blank.join(links.where("name is not null and prev_name is not null"), ["file_no", "name"]).select("file_no", "name", F.col("prev_file_no").alias("p"), F.col("prev_name").alias("pn"))
+    open_ = blank.join(links.where("name is not null and prev_name is not null").hint("merge"), ["file_no", "name"]).select("file_no", "name", F.col("prev_file_no").alias("p"), F.col("prev_name").alias("pn"))
     out = known
     while True:
         open_ = stored(open_)
         at = known.select(F.col("file_no").alias("p"), F.col("name").alias("pn"), "kind")
-        out = out.unionByName(open_.join(at, ["p", "pn"]).select("file_no", "name", "kind"))
+        out = out.unionByName(open_.join(at.hint("merge"), ["p", "pn"]).select("file_no", "name", "kind"))
         hop = open_.select(F.col("file_no").alias("p"), F.col("name").alias("pn"), F.col("p").alias("p2"), F.col("pn").alias("pn2"))
-        open_ = open_.join(hop, ["p", "pn"]).select("file_no", "name", F.col("p2").alias("p"), F.col("pn2").alias("pn"))
+        open_ = open_.join(hop.hint("merge"), ["p", "pn"]).select("file_no", "name", F.col("p2").alias("p"), F.col("pn2").alias("pn"))
         if open_.isEmpty():
             break
-    return columns.select("file_no", "name").join(out, ["file_no", "name"], "left")
+    return columns.select("file_no", "name").join(out.hint("merge"), ["file_no", "name"], "left")
 
 
 class Files:
@@ -147,16 +148,16 @@ class Files:
         columns = stored(exact_medians(file_columns(self.stats), self.stats))
         self.links = stored(link_columns(columns, reports, {f: d.get("aliases") or [] for f, d in self.known.items()}))
         kinds = resolve_kinds(columns, self.links)
-        self.columns = columns.join(kinds, ["file_no", "name"], "left")
+        self.columns = columns.join(kinds.hint("merge"), ["file_no", "name"], "left")
 
 
 def schema_changes(files: Files) -> DataFrame:
     """(file_no, change, column_name): added, removed, renamed and retyped columns against the sensor's previous file."""
     links = files.links.where("prev_file_no is not null")
     kinds = files.columns.select("file_no", "name", "kind")
-    now = links.join(kinds, ["file_no", "name"], "left")
+    now = links.join(kinds.hint("merge"), ["file_no", "name"], "left")
     old = kinds.select(F.col("file_no").alias("prev_file_no"), F.col("name").alias("prev_name"), F.col("kind").alias("prev_kind"))
-    both = now.join(old, ["prev_file_no", "prev_name"], "left")
+    both = now.join(old.hint("merge"), ["prev_file_no", "prev_name"], "left")
     change = F.array_compact(
         F.array(
             F.when(F.col("prev_name").isNull(), "added"),
@@ -174,7 +175,7 @@ def unified_schema(files: Files) -> DataFrame:
     canonical is the widest kind that all alternatives convert to: whole, decimal (whole and decimal), timestamp,
     else text.
     """
-    typed = files.columns.join(files.links.where("name is not null").select("file_no", "name", "field"), ["file_no", "name"])
+    typed = files.columns.join(files.links.where("name is not null").select("file_no", "name", "field").hint("merge"), ["file_no", "name"])
     per = typed.groupBy("field", "kind").agg(F.count("*").alias("files"), F.min("file_no").alias("first_file"), F.array_sort(F.collect_set("name")).alias("names"))
     kinds = F.collect_set("kind")
     canonical = (
@@ -193,9 +194,9 @@ def unified_rows(files: Files) -> DataFrame:
     A known number field has a double branch, a timestamp field a timestamp branch; a cell that fits no such branch
     (and every text) is kept as text in ``as_text``; missing cells are null in all branches.
     """
-    fields = files.links.where("name is not null").join(files.columns.select("file_no", "name", "position"), ["file_no", "name"])
+    fields = files.links.where("name is not null").join(files.columns.select("file_no", "name", "position").hint("merge"), ["file_no", "name"])
     heads = fields.groupBy("file_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "field"))), lambda x: x["field"]).alias("fields"))
-    rows = files.lines.where("reason is null and cells is not null").join(heads, "file_no")
+    rows = files.lines.where("reason is null and cells is not null").join(heads.hint("merge"), "file_no")
     given = F.map_filter(F.map_from_arrays("fields", "cells"), lambda k, v: ~v.rlike(r"(?i)^(nan|na|null)?$"))
     rows = rows.select("file_no", "line_no", given.alias("m"))
     out, fitted = [], []
