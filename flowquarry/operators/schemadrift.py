@@ -118,14 +118,13 @@ def resolve_kinds(columns: DataFrame, links: DataFrame) -> DataFrame:
     Columns without a cell that could show a kind look back as far as their field goes; pointers double each round.
     Without any such cell in all files before, the kind is null.
     """
-    known = columns.where("observed is not null").select("file_no", "name", F.col("observed").alias("kind"))
+    out = columns.where("observed is not null").select("file_no", "name", F.col("observed").alias("kind"))
     blank = columns.where("observed is null").select("file_no", "name")
     open_ = blank.join(links.where("name is not null and prev_name is not null").hint("merge"), ["file_no", "name"]).select("file_no", "name", F.col("prev_file_no").alias("p"), F.col("prev_name").alias("pn"))
-    out = known
     while True:
         open_ = stored(open_)
-        at = known.select(F.col("file_no").alias("p"), F.col("name").alias("pn"), "kind")
-        out = out.unionByName(open_.join(at.hint("merge"), ["p", "pn"]).select("file_no", "name", "kind"))
+        at = out.select(F.col("file_no").alias("p"), F.col("name").alias("pn"), "kind")
+        out = out.unionByName(stored(open_.join(at.hint("merge"), ["p", "pn"]).select("file_no", "name", "kind")))
         hop = open_.select(F.col("file_no").alias("p"), F.col("name").alias("pn"), F.col("p").alias("p2"), F.col("pn").alias("pn2"))
         open_ = open_.join(hop.hint("merge"), ["p", "pn"]).select("file_no", "name", F.col("p2").alias("p"), F.col("pn2").alias("pn"))
         if open_.isEmpty():
