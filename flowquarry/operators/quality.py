@@ -40,9 +40,9 @@ def quality_issues(files: Files) -> DataFrame:
     bad = F.col("texts") + F.col("timestamps")
     now = cols.select(
         "file_no", "name", "prev_file_no", "prev_name", "field", "lines", "infinite", "least", "most", "median", "finite", "missing", "fits", "lo", "hi",
-        F.coalesce(number, F.lit(False)).alias("number"), bad.alias("bad"), F.try_divide(F.col("missing") + bad, F.col("lines")).alias("share"),
+        F.coalesce(number, F.lit(False)).alias("number"), bad.alias("bad"), (F.col("missing") + bad).alias("lost"),
     )
-    old = now.select(*[F.col(c).alias(f"o_{c}") for c in ("number", "share", "finite", "least", "most", "median")], F.col("file_no").alias("prev_file_no"), F.col("name").alias("prev_name"))
+    old = now.select(*[F.col(c).alias(f"o_{c}") for c in ("number", "lost", "lines", "finite", "least", "most", "median")], F.col("file_no").alias("prev_file_no"), F.col("name").alias("prev_name"))
     both = now.join(old.hint("merge"), ["prev_file_no", "prev_name"], "left")
     pair = F.col("number") & F.coalesce("o_number", F.lit(False))
     tests = {
@@ -50,7 +50,7 @@ def quality_issues(files: Files) -> DataFrame:
         "infinite": F.col("number") & (F.col("infinite") * 20 > F.col("lines")),
         "range": F.col("number") & ((F.col("least") < F.col("lo")) | (F.col("most") > F.col("hi"))),
         "pattern": (F.col("field") == files.patterned) & (F.col("lines") - F.col("missing") > F.col("fits")) if files.patterned else F.lit(False),
-        "missing": pair & (F.col("share") - F.col("o_share") > 0.2),
+        "missing": pair & ((F.col("lost") * F.col("o_lines") - F.col("o_lost") * F.col("lines")) * 5 > F.col("lines") * F.col("o_lines")),
         "constant": pair & (F.col("finite") >= 2) & (F.col("least") == F.col("most")) & (F.col("o_finite") >= 2) & (F.col("o_least") < F.col("o_most")),
         "shift": pair & (F.col("median") > 0) & (F.col("o_median") > 0) & ((F.col("median") >= 4 * F.col("o_median")) | (F.col("median") * 4 <= F.col("o_median"))),
     }
