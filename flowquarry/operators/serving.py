@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,16 +69,32 @@ def recent_sources(counters: DataFrame, now: Column, prefix: str = "replay:", se
     return counters.where(F.col("source").startswith(prefix) & (F.col("last_seen") > now - F.expr(f"interval {seconds} seconds"))).orderBy(F.desc("last_seen"), "source")
 
 
-def batches(df: DataFrame, by: Sequence[Column], order: Sequence[Column], size: int) -> DataFrame:
-    """df with batch_no and row_no within each group: slices of ``size`` rows in order."""
-    rn = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("__r", rn - 1).withColumn("batch_no", F.floor(F.col("__r") / size)).withColumn("row_no", F.col("__r") % size).drop("__r")
+def batches(df: DataFrame, by: Sequence[str], order: str, size: int, *, block: int = 1 << 16) -> DataFrame:
+    """df with batch_no and row_no within each group: slices of ``size`` rows in the order of a whole-number column.
 
-
-def schedule(sizes: DataFrame, by: Sequence[str], batch: str, n: str, rate: float) -> DataFrame:
-    """Due second of each batch: rows sent before it divided by the rate."""
-    w = Window.partitionBy(*by).orderBy(batch).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("due", F.coalesce(F.sum(n).over(w), F.lit(0)) / F.lit(rate))
+    Rows are ranked within blocks of the order column and offset by the rows of the blocks before, so that a group
+    with very many rows is sorted by many tasks. Equal order values are told apart by nothing: they should be unique.
+    """
+    names = [f"__b{i}" for i in range(len(by))]
+    d = df.withColumn("__o", F.floor(F.col(order) / block))
+    per = d.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names)], F.col("__o").alias("__p")).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*names).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    start = per.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    on = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names)] + [F.col("__o").eqNullSafe(F.col("__p"))]
+    rank = F.row_number().over(Window.partitionBy(*by, "__o").orderBy(order)) - 1
+    at = F.col("__r") + F.col("__start")
+    ranked = d.withColumn("__r", rank).join(start, reduce(lambda a, b: a & b, on))
+    return ranked.withColumn("batch_no", F.floor(at / size).cast("long")).withColumn("row_no", (at % size).cast("long")).drop("__r", "__o", "__p", "__start", *names)
+
+
+def schedule(sizes: DataFrame, batch: str, n: str, rate: float, *, block: int = 1 << 14) -> DataFrame:
+    """Due second of each batch: rows sent before it divided by the rate; sums within blocks of batches, then of the blocks before."""
+    d = sizes.withColumn("__o", F.floor(F.col(batch) / block))
+    per = d.groupBy("__o").agg(F.sum(n).alias("__n"))
+    blocks = per.select(F.col("__o").alias("__p"), F.coalesce(F.sum("__n").over(Window.orderBy("__o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))  # one row per block
+    within = Window.partitionBy("__o").orderBy(batch).rowsBetween(Window.unboundedPreceding, -1)
+    j = d.withColumn("__w", F.coalesce(F.sum(n).over(within), F.lit(0))).join(blocks, F.col("__o") == F.col("__p"))
+    return j.withColumn("due", (F.col("__w") + F.col("__start")) / F.lit(rate)).drop("__o", "__p", "__w", "__start")
 
 
 def top_contributions(items: Column, k: int) -> dict[str, Column]:

@@ -416,17 +416,17 @@ def recent_replays(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""with b as (select batch_id, count(*) as n from batch group by 1)
-select batch_id, n, coalesce(sum(n) over (order by batch_id rows between unbounded preceding and 1 preceding), 0)::double / 200 as due from b where batch_id <= 200""")
+select batch_id, n, coalesce(sum(n) over (order by batch_id rows between unbounded preceding and 1 preceding), 0)::double / 200 as due from b""")
 def replay_schedule(spark: SparkSession, sf: str) -> DataFrame:
-    b = _batch(spark, sf).where("batch_id <= 200").groupBy("batch_id").agg(F.count("*").alias("n")).withColumn("__g", F.lit(0))
-    return serving.schedule(b, ["__g"], "batch_id", "n", 200.0).drop("__g")
+    b = _batch(spark, sf).groupBy("batch_id").agg(F.count("*").alias("n"))
+    return serving.schedule(b, "batch_id", "n", 200.0)
 
 
 @query("""select source_file, flow_id, ((row_number() over (partition by source_file order by flow_id) - 1) // 50)::bigint as batch_no, ((row_number() over (partition by source_file order by flow_id) - 1) % 50)::bigint as row_no
 from flows where split = 'test' and source_file like 'Friday%'""")
 def frames_from_split(spark: SparkSession, sf: str) -> DataFrame:
     f = _flows(spark, sf).where(F.col("split") == "test").where(F.col("source_file").startswith("Friday")).select("source_file", "flow_id")
-    return serving.batches(f, [F.col("source_file")], [F.col("flow_id")], 50).select("source_file", "flow_id", "batch_no", F.col("row_no").cast("long").alias("row_no"))
+    return serving.batches(f, ["source_file"], "flow_id", 50).select("source_file", "flow_id", "batch_no", "row_no")
 
 
 @query("""select source, decision, count(*) as n, round(avg("Flow Duration") filter (where isfinite("Flow Duration")), 3) as mean_duration from batch group by cube (source, decision)""")

@@ -195,8 +195,10 @@ def test_serving(spark):
     assert tuple(serving.store_state(r, F.col("d"), 4).first()) == (4, 6, 4, 6, 0)
     c = {x["source"]: x["n"] for x in serving.source_counters(r, F.col("src"), F.col("id"), {}, most=2).collect()}
     assert c == {"s0": 3, "s1": 3, "(other sources)": 4}
-    due = serving.schedule(spark.createDataFrame([(0, 0, 5), (0, 1, 5), (0, 2, 5)], "g int, b int, n int"), ["g"], "b", "n", 10.0)
+    due = serving.schedule(spark.createDataFrame([(0, 5), (1, 5), (2, 5)], "b int, n int"), "b", "n", 10.0, block=2)
     assert [x["due"] for x in due.orderBy("b").collect()] == [0.0, 0.5, 1.0]
+    cut = serving.batches(r, ["src"], "id", 2, block=3).orderBy("src", "id").collect()
+    assert [(x["batch_no"], x["row_no"]) for x in cut if x["src"] == "s0"] == [(0, 0), (0, 1), (1, 0)]
 
 
 def test_replay(spark):
