@@ -441,3 +441,65 @@ where isfinite("Flow Duration") group by 1""")
 def exact_quantiles_by_source(spark: SparkSession, sf: str) -> DataFrame:
     got = orderstats.exact_quantiles(_batch(spark, sf), ["source"], "Flow Duration", [0.5, 0.99])
     return got.groupBy("source").agg(F.max(F.when(F.col("prob") == 0.5, F.col("quantile"))).alias("p50"), F.max(F.when(F.col("prob") == 0.99, F.col("quantile"))).alias("p99"))
+
+
+# --- further operators of the pipeline
+
+_ALL_NULL = " and ".join(f'"{c}" is null' for c in FEATURES)
+
+
+@query(f"""select source_file, count(*) as row_count, count(*) filter (where {_ALL_NULL} and label is null) as all_empty, count(*) filter (where {' or '.join(f'("{c}" is null or isnan("{c}") or isinf("{c}"))' for c in FEATURES)}) as with_gaps from flows group by 1""")
+def empty_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows without any cell, and rows with at least one missing or infinite cell, per file."""
+    from functools import reduce
+
+    from flowquarry.functions.scalars import is_finite
+
+    empty = reduce(lambda a, b: a & b, [q(c).isNull() for c in FEATURES]) & F.col("label").isNull()
+    gaps = reduce(lambda a, b: a | b, [~is_finite(q(c)) for c in FEATURES])
+    return _flows(spark, sf).groupBy("source_file").agg(F.count("*").alias("row_count"), F.count_if(empty).alias("all_empty"), F.count_if(gaps).alias("with_gaps"))
+
+
+@query(f"""select flow_id, label from (select flow_id, label, row_number() over (partition by label order by {_MD5}) as rn from flows where split = 'test') where rn <= case when upper(trim(label)) = 'BENIGN' then 50 else 10 end""")
+def capped_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """At most 50 benign rows and 10 of every other label, for explanations."""
+    f = _flows(spark, sf).where("split = 'test'").select("flow_id", "label")
+    got = sampling.stratified_sample(f, F.col("label"), 50, sampling.order_key("42", F.col("flow_id")))
+    other = sampling.stratified_sample(got.where(~F.coalesce(F.upper(F.trim("label")) == "BENIGN", F.lit(False))), F.col("label"), 10, sampling.order_key("42", F.col("flow_id")))
+    return got.where(F.upper(F.trim("label")) == "BENIGN").unionByName(other)
+
+
+@query(f"select label, round(avg((p >= 0.5)::int), 4) as recall from {_SCORED} where is_attack = 1 group by 1")
+def recall_by_label(spark: SparkSession, sf: str) -> DataFrame:
+    got = metrics.per_label_rates(_scored(spark, sf).where("is_attack = 1"), F.col("label"), F.col("p") >= 0.5)
+    return got.select("label", F.round("rate", 4).alias("recall"))
+
+
+@query("select label, min(flow_id) as flow_id from flows where label is not null group by 1")
+def example_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The row of each label that becomes its example request."""
+    return _flows(spark, sf).where("label is not null").groupBy("label").agg(F.min("flow_id").alias("flow_id"))
+
+
+@query(f"""select flow_id, case when isfinite(x) then round(sign(x) * log10(1 + abs(x)), 6) else -1 end as slog10 from (select flow_id, {_X.format('Flow IAT Mean')} as x from flows)""")
+def signed_log(spark: SparkSession, sf: str) -> DataFrame:
+    from flowquarry.functions.scalars import finite_or_null, signed_log10
+
+    x = finite_or_null(q("Flow IAT Mean").cast("double"))
+    return _flows(spark, sf).select("flow_id", F.coalesce(F.round(signed_log10(x), 6), F.lit(-1.0)).alias("slog10"))
+
+
+@query("""select source, sum((decision = 'known_attack')::int)::bigint as known_attack, sum((decision = 'anomaly')::int)::bigint as anomaly, sum((decision = 'benign')::int)::bigint as benign, count(*) as n, count(distinct (batch_id, flow_no)) as distinct_flows
+from batch where source is not null group by 1""")
+def decisions_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    b = _batch(spark, sf).where("source is not null")
+    return b.groupBy("source").agg(*[F.coalesce(F.sum((F.col("decision") == d).cast("int")), F.lit(0)).alias(d) for d in ("known_attack", "anomaly", "benign")], F.count("*").alias("n"), F.count_distinct("batch_id", "flow_no").alias("distinct_flows"))
+
+
+@query("""select batch_id, flow_no, source, epoch_us(received_at) as received_us from (select *, row_number() over (partition by batch_id, flow_no order by received_at, source nulls first, decision nulls first, "Flow Duration" nulls first) as rn from batch) where rn = 1""")
+def first_deliveries(spark: SparkSession, sf: str) -> DataFrame:
+    """Each flow's first delivery: later ones with its (batch_id, flow_no) are copies."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("batch_id", "flow_no").orderBy("received_at", F.asc_nulls_first("source"), F.asc_nulls_first("decision"), F.asc_nulls_first("Flow Duration"))
+    return _batch(spark, sf).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("batch_id", "flow_no", "source", F.unix_micros("received_at").alias("received_us"))

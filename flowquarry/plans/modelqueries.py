@@ -130,3 +130,29 @@ def write_quirky_files(folder: str) -> None:
     with zipfile.ZipFile(os.path.join(folder, "flows.zip"), "w") as z:
         z.writestr("csv/Thursday-hours.csv", (head + "\n".join(thursday) + "\n").encode("latin-1"))
         z.writestr("__MACOSX/csv/._Thursday-hours.csv", b"\x00\x05\x16\x07")
+
+
+@query()
+def port_ablation(spark: SparkSession, sf: str) -> DataFrame:
+    """The forest with and without the excluded column."""
+    f = _flows(spark, sf)
+    out = None
+    for name, exclude in (("without port", ("Destination Port",)), ("with port", ())):
+        s = models.fit(f.where("split = 'train'"), FEATURES, F.col("is_attack"), exclude=exclude, trees=10, depth=6).score(f.where("split = 'test'"), KEEP)
+        row = metrics.rates(metrics.confusion(s, F.col("is_attack"), F.col("p") >= 0.5)).withColumn("features", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query()
+def detector_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Classifier, isolation forest and the three-way decision for the test flows: one select chain over fitted models."""
+    f = _flows(spark, sf)
+    scorer = models.fit(f.where("split = 'train'"), FEATURES, F.col("is_attack"), trees=10, depth=6)
+    prep = scorer.prep
+    forest = iforest.fit_isolation_forest(prep.transform(f.where("split = 'train' and is_attack = 0"), ["flow_id"]), prep.kept, "flow_id", trees=50)
+    scored = forest.transform(prep.transform(f.where("split <> 'train'"), ["flow_id", "split", "is_attack"])).select("flow_id", "split", "is_attack", "anomaly_score")
+    threshold = metrics.threshold_for_fpr(scored.where("split = 'val' and is_attack = 0"), "anomaly_score", [0.05]).first()["threshold"]  # one number
+    p = scorer.score(f.where("split = 'test'"), ["flow_id"])
+    both = p.join(scored.where("split = 'test'"), "flow_id")
+    return both.select("flow_id", "p", "anomaly_score", metrics.hybrid_decision(F.col("p"), F.col("anomaly_score"), threshold).alias("decision"))
