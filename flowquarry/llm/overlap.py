@@ -187,13 +187,21 @@ def near_record_overlaps(
                     parts = [(at[~hot], keys[~hot])]
                     for n, sub in enumerate(finer[s]):
                         parts.append(segment_keys(codes, sub, at[hot], _mix(keys[hot], np.full(int(hot.sum()), n, np.int64)), probe))
-                for at, keys in parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fp[at]), pa.array(ids[at]), pa.array(sides[at])], names=["key", "fp", "id", "side"])
+                at, keys = (np.concatenate(c) for c in zip(*parts))
+                if not len(at):
+                    continue
+                # copies within the batch become one line before the shuffle
+                order = np.lexsort((fp[at], keys))
+                keys, f, i, w = keys[order], fp[at][order], ids[at][order], sides[at][order]
+                first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (f[1:] != f[:-1])]))
+                out = [keys[first].view(np.int64), f[first], np.minimum.reduceat(i, first), np.bitwise_or.reduceat(w, first)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["key", "fp", "rep", "sides"])
 
     # equal records share a line; the exchange on the key serves both the grouping and the join
-    keyed = base.mapInArrow(all_keys, "key long, fp long, id long, side tinyint")
-    lines = keyed.repartition("key").groupBy("key", "fp").agg(F.min("id").alias("rep"), F.max(F.col("side") == 1).alias("t"), F.max(F.col("side") == 2).alias("e"))
-    candidates = lines.where("t").select("key", F.col("rep").alias("a")).join(lines.where("e").select("key", F.col("rep").alias("b")), "key").select("a", "b").distinct()
+    keyed = base.mapInArrow(all_keys, "key long, fp long, rep long, sides tinyint")
+    lines = keyed.repartition("key").groupBy("key", "fp").agg(F.min("rep").alias("rep"), F.bit_or("sides").alias("sides"))
+    sided = lambda bit, name: lines.where(F.col("sides").bitwiseAND(F.lit(bit)) != 0).select("key", F.col("rep").alias(name))
+    candidates = sided(1, "a").join(sided(2, "b"), "key").select("a", "b").distinct()
 
     both_ends = F.array(F.struct(F.lit(0).alias("end"), F.col("a").alias("id")), F.struct(F.lit(1).alias("end"), F.col("b").alias("id")))
     ends = candidates.select("a", "b", F.explode(both_ends).alias("p")).select("a", "b", "p.end", "p.id")
