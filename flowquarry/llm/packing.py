@@ -56,12 +56,14 @@ def pack_documents(docs: DataFrame, containers: DataFrame, *, id_col: str = "doc
     full pieces, which fill containers of their own, and a rest that is packed as an item. Documents without tokens
     take no room: piece 0 of 0, no container. Repeated ids are packed as rows of their own.
     """
-    caps = containers.where("lang is not null and capacity > 0").groupBy(plain_key(F.col("lang")).alias("lang")).agg(F.max("capacity").cast("int").alias("capacity"))
-    caps = F.broadcast(caps)  # one row per language
-    rest = caps.where(F.col("lang") == other).select(F.col("lang").alias("rest_lang"), F.col("capacity").alias("rest_capacity"))
-    sized = docs.select(F.col(f"`{id_col}`").alias("doc_id"), plain_key(F.col(f"`{lang_col}`")).alias("lang"), token_count(F.col(f"`{text_col}`")).alias("tokens"))
-    sized = sized.join(caps, "lang", "left").crossJoin(F.broadcast(rest))  # one row
-    sized = sized.select("doc_id", F.when(F.col("capacity").isNull(), F.col("rest_lang")).otherwise(F.col("lang")).alias("lang"), F.coalesce("capacity", "rest_capacity").alias("capacity"), "tokens")
+    # one row per language
+    caps = {r["lang"]: r["capacity"] for r in containers.where("lang is not null and capacity > 0").groupBy(plain_key(F.col("lang")).alias("lang")).agg(F.max("capacity").cast("int").alias("capacity")).collect()}
+    if other not in caps:
+        raise ValueError(f"no container for the language {other}")
+    table = F.create_map(*[F.lit(x) for kv in sorted(caps.items()) for x in kv])
+    sized = docs.select(F.col(f"`{id_col}`").alias("doc_id"), plain_key(F.col(f"`{lang_col}`")).alias("l"), token_count(F.col(f"`{text_col}`")).alias("tokens"))
+    sized = sized.withColumn("lang", F.when(F.element_at(table, F.col("l")).isNotNull(), F.col("l")).otherwise(F.lit(other)))
+    sized = sized.select("doc_id", "lang", F.element_at(table, F.col("lang")).alias("capacity"), "tokens")
 
     sizes = sized.groupBy("lang").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / chunk)).cast("int").alias("chunks"))
     dealt = sized.join(F.broadcast(sizes), "lang").withColumn("chunk", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.col("chunks")).cast("int")).drop("chunks")
