@@ -8,8 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowquarry.session import stored
+
 #: Buckets per unit of the signed logarithm.
-GRAIN = 4096
+GRAIN = 1024
+#: Most rows of a table of wanted buckets that is broadcast (some 100 bytes each).
+BROADCAST_ROWS = 50_000
 
 
 def _bucket(v: Column) -> Column:
@@ -21,26 +25,29 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     """(by..., prob, quantile) with linear interpolation between the two values next to rank p * (n - 1).
 
     Null, NaN and infinite values are left out; groups without a finite value give no row; null group keys form a
-    group of their own. Two passes over buckets that follow the order of the values: the first finds the buckets
-    of the ranks wanted, the second ranks the distinct values within these buckets only.
+    group of their own. Two passes over buckets that follow the order of the values: the first counts buckets, which
+    are combined before the shuffle, and finds those of the ranks wanted; the second reads the values of these buckets
+    only. The buckets wanted are broadcast if they are at most BROADCAST_ROWS, else joined by a shuffle.
     """
     v = F.col(f"`{value}`").cast("double")
     names = [f"g{i}" for i in range(len(by))]
     data = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(by, names)], v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < F.lit(float("inf"))))
-    values = data.withColumn("v", F.col("v") + F.lit(0.0)).groupBy(*names, _bucket(F.col("v")).alias("b"), "v").agg(F.count("*").alias("n"))
-    buckets = values.groupBy(*names, "b").agg(F.sum("n").alias("n"))
+    data = data.withColumn("v", F.col("v") + F.lit(0.0)).withColumn("b", _bucket(F.col("v")))
+    buckets = data.groupBy(*names, "b").agg(F.count("*").alias("n"))
     run = Window.partitionBy(*names).orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*names)
-    placed = buckets.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(whole))
-    ranks = F.explode(F.flatten(F.array(*[F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(e).alias("e"), (f(F.lit(float(p)) * (F.col("all") - 1)).cast("long") + 1).alias("rank"), (F.lit(float(p)) * (F.col("all") - 1)).alias("at")) for e, f in (("lo", F.floor), ("hi", F.ceil))]) for p in probs])))
-    wanted = placed.withColumn("r", ranks).where("r.rank <= upto and r.rank > upto - n").select(*names, "b", F.col("r.p").alias("p"), F.col("r.e").alias("e"), (F.col("r.rank") - F.col("upto") + F.col("n")).alias("inner"), F.col("r.at").alias("at"))
-    within = Window.partitionBy(*names, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = buckets.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(Window.partitionBy(*names)))
+    at = [F.lit(float(p)) * (F.col("all") - 1) for p in probs]
+    ranks = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(e).alias("e"), (f(x).cast("long") + 1).alias("rank"), x.alias("at")) for p, x in zip(probs, at) for e, f in (("lo", F.floor), ("hi", F.ceil))]))
     marks = [f"w{i}" for i in range(len(by))]
-    named = wanted.select(*[F.col(n).alias(w) for n, w in zip(names, marks)], F.col("b").alias("wb"), "p", "e", "inner", "at")
-    same = [F.col(n).eqNullSafe(F.col(w)) for n, w in zip(names, marks)] + [F.col("b") == F.col("wb")]
-    some = values.join(named.select(*marks, "wb").distinct(), reduce(lambda a, b: a & b, same), "left_semi").withColumn("upto", F.sum("n").over(within))
-    cond = [*same, F.col("inner") <= F.col("upto"), F.col("inner") > F.col("upto") - F.col("n")]
-    hit = some.join(named, reduce(lambda a, b: a & b, cond)).select(*names, "p", "e", "at", "v")
+    wanted = placed.withColumn("r", ranks).where("r.rank <= upto and r.rank > upto - n").select(*[F.col(n).alias(w) for n, w in zip(names, marks)], F.col("b").alias("wb"), F.col("r.p").alias("p"), F.col("r.e").alias("e"), (F.col("r.rank") - F.col("upto") + F.col("n")).alias("inner"), F.col("r.at").alias("at"))
+    wanted = stored(wanted)
+    small = wanted.count() <= BROADCAST_ROWS
+    sized = lambda d: F.broadcast(d) if small else d.hint("merge")
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(w)) for n, w in zip(names, marks)] + [F.col("b") == F.col("wb")])
+    some = data.join(sized(wanted.select(*marks, "wb").distinct()), same, "left_semi").groupBy(*names, "b", "v").agg(F.count("*").alias("n"))
+    within = Window.partitionBy(*names, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    some = some.withColumn("upto", F.sum("n").over(within))
+    hit = some.join(sized(wanted), same & (F.col("inner") <= F.col("upto")) & (F.col("inner") > F.col("upto") - F.col("n"))).select(*names, "p", "e", "at", "v")
     lo, hi = (F.max(F.when(F.col("e") == e, F.col("v"))) for e in ("lo", "hi"))
     out = hit.groupBy(*names, "p").agg(lo.alias("lo"), hi.alias("hi"), F.max("at").alias("at"))
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, by)], F.col("p").alias("prob"), (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))).alias("quantile"))
