@@ -17,7 +17,7 @@ def column_profiles(files: Files) -> DataFrame:
     c = files.columns
     n = F.col("finite")
     mean = F.try_divide(F.col("total"), n)
-    var = F.try_divide(F.greatest(F.col("squares") - n * mean * mean, F.lit(0.0)), n - 1)
+    var = F.when(n > 1, F.greatest(F.col("squares") - n * mean * mean, F.lit(0.0)) / (n - 1))
     out = c.select(
         "file_no", F.col("name").alias("column_name"), "kind", "lines", "missing", "infinite", "pos_inf", (F.col("texts") + F.col("timestamps")).alias("other_cells"),
         n.alias("finite_count"), mean.alias("mean"), F.sqrt(var).alias("std"), "least", "most", "median", "zeros", "negatives", "position",
@@ -56,3 +56,21 @@ def quality_issues(files: Files) -> DataFrame:
     }
     issues = F.array_compact(F.array(*[F.when(t, name) for name, t in tests.items()]))
     return both.select("file_no", F.col("name").alias("column_name"), F.explode(issues).alias("issue"))
+
+
+def recorded_differences(profiles: DataFrame, recorded: DataFrame) -> DataFrame:
+    """(file_no, column_name, measure, recorded, found): where recorded profiles disagree with those of the lines.
+
+    recorded.nan counts missing and unparseable cells. Recorded rows that came twice count once; columns without a
+    recorded row are not compared, recorded columns that a file doesn't have are given with found null.
+    """
+    r = recorded.dropDuplicates(["file_no", "column_name"])
+    f = profiles.withColumn("nan", F.col("missing") + F.col("other_cells")).withColumn("neg_inf", F.col("infinite") - F.col("pos_inf")).withColumn("min", F.col("least")).withColumn("max", F.col("most")).withColumn("unparseable", F.col("other_cells"))
+    names = ["finite_count", "nan", "pos_inf", "neg_inf", "zeros", "negatives", "unparseable", "min", "max"]
+    pick = lambda d, new: d.select("file_no", "column_name", *[F.col(n).cast("double").alias(f"{new}{i}") for i, n in enumerate(names)])
+    both = pick(r, "r").join(pick(f, "f").withColumn("here", F.lit(True)).hint("merge"), ["file_no", "column_name"], "left")
+    each = F.array(*[F.struct(F.lit(n).alias("measure"), F.col(f"r{i}").alias("recorded"), F.col(f"f{i}").alias("found"), F.col("here").alias("here")) for i, n in enumerate(names)])
+    long = both.select("file_no", "column_name", F.explode(each).alias("x")).select("file_no", "column_name", "x.*")
+    near = F.abs(F.col("recorded") - F.col("found")) <= 1e-9 * F.greatest(F.abs("recorded"), F.abs("found"))
+    same = F.col("recorded").eqNullSafe(F.col("found")) | F.coalesce(near, F.lit(False))
+    return long.where(~same | F.col("here").isNull()).drop("here")

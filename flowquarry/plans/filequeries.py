@@ -60,3 +60,9 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def p6_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return quality.column_profiles(_files(spark, sf, lines=False, hashes=True))
+
+
+@query()
+def p6_recorded_differences(spark: SparkSession, sf: str) -> DataFrame:
+    """Recorded profiles that disagree with the lines: none where both are sound."""
+    return quality.recorded_differences(quality.column_profiles(_files(spark, sf, lines=False)), table(spark, sf, "column_stats"))

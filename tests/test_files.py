@@ -91,6 +91,19 @@ def test_kinds_are_kept_through_empty_files(spark):
     assert rows(schemadrift.schema_changes(f)) == [(7, "retyped", "Timestamp")]
 
 
+def test_profiles_and_recorded_ones(spark):
+    f, _ = files_of(spark, {1: ["Flow ID,Flow Duration,Label", "ab1,4,BENIGN", "ab1,6,BENIGN", "ab1,,BENIGN", "ab2,-inf,BENIGN", "ab3,2,BENIGN", "ab3,0,BENIGN", "ab3,0,BENIGN", "ab3,x,BENIGN"], 2: ["Flow Duration", "NaN"]}, hashes=True)
+    p = quality.column_profiles(f).cache()
+    d = {(r["file_no"], r["column_name"]): r for r in p.collect()}
+    x = d[(1, "Flow Duration")]
+    assert (x["lines"], x["missing"], x["infinite"], x["pos_inf"], x["other_cells"], x["finite_count"], x["least"], x["most"], x["median"], x["zeros"], x["distinct"], x["constant"]) == (8, 1, 1, 0, 1, 5, 0, 6, 2, 2, 6, False)
+    assert math.isclose(x["mean"], 2.4) and math.isclose(x["std"], math.sqrt(6.8))
+    y = d[(2, "Flow Duration")]
+    assert (y["finite_count"], y["mean"], y["std"], y["median"], y["distinct"], y["kind"]) == (0, None, None, None, 0, "whole")
+    rec = spark.createDataFrame([(1, "Flow Duration", 5, 2, 0, 1, 2, 0, 1, 0.0, 6.0)] * 2 + [(2, "Flow Duration", 1, 1, 0, 0, 0, 0, 0, None, None), (9, "gone", *[0] * 7, None, None)], "file_no long, column_name string, finite_count long, nan long, pos_inf long, neg_inf long, zeros long, negatives long, unparseable long, min double, max double")
+    assert {(r["file_no"], r["measure"]) for r in quality.recorded_differences(p, rec).collect() if r["file_no"] < 9} == {(2, "finite_count")}
+
+
 def test_late_and_repeated_reports(spark):
     head, row = "Flow ID,Label", "ab1,BENIGN"
     raw = {10: [head, row], 11: ["Flow ID,Label,Time", row + ","], 12: [head, row]}
