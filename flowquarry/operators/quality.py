@@ -74,3 +74,33 @@ def recorded_differences(profiles: DataFrame, recorded: DataFrame) -> DataFrame:
     near = F.abs(F.col("recorded") - F.col("found")) <= 1e-9 * F.greatest(F.abs("recorded"), F.abs("found"))
     same = F.col("recorded").eqNullSafe(F.col("found")) | F.coalesce(near, F.lit(False))
     return long.where(~same | F.col("here").isNull()).drop("here")
+
+
+#: Files of one sensor and field that one task goes through, and earlier files that limits are drawn from.
+SPAN, HISTORY = 1000, 30
+
+
+def control_limits(files: Files, reports: DataFrame, *, history: int = HISTORY, least: int = 4, width: float = 3.0, span: int = SPAN) -> DataFrame:
+    """(file_no, column_name, field, metric, value, files, low, high, outside): each metric against the sensor's earlier files.
+
+    Metrics of number columns: share of missing or unparseable cells, share of infinite cells, logarithm of the median's
+    size. Limits are the mean of at most ``history`` files before (by seq) plus and minus ``width`` deviations, with at
+    least a hundredth to each side; fewer than ``least`` files give no limits and outside is null. A sensor's files are
+    gone through in spans that overlap by the history, so that a sensor with very many files is no single group.
+    """
+    place = reports.where("file_no is not null").groupBy("file_no").agg(F.max("sensor").alias("sensor"), F.max("seq").alias("seq"))
+    fields = files.links.where("name is not null").select("file_no", "name", "field")
+    cols = files.columns.where("kind in ('whole', 'decimal')").join(fields.hint("merge"), ["file_no", "name"]).join(place.hint("merge"), "file_no").where("sensor is not null and seq is not null")
+    share = lambda c: F.try_divide(c, F.col("lines"))
+    values = {"lost": share(F.col("missing") + F.col("texts") + F.col("timestamps")), "infinite": share(F.col("infinite")), "median": F.signum("median") * F.log1p(F.abs("median"))}
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), v.cast("double").alias("value")) for n, v in values.items()])).alias("m")
+    long = cols.select("sensor", "seq", "file_no", F.col("name").alias("column_name"), "field", each).select("sensor", "seq", "file_no", "column_name", "field", "m.metric", "m.value")
+    own = F.floor(F.col("seq") / span)
+    spans = F.explode(F.when(F.col("seq") % span >= span - history, F.array(own, own + 1)).otherwise(F.array(own))).alias("part")
+    w = Window.partitionBy("sensor", "field", "metric", "part").orderBy("seq", "file_no").rowsBetween(-history, -1)
+    n, mean, dev = F.count("value").over(w), F.avg("value").over(w), F.coalesce(F.stddev_samp("value").over(w), F.lit(0.0))
+    out = long.select("*", spans).withColumn("files", n).withColumn("mean", mean).withColumn("dev", F.greatest(F.lit(width) * dev, F.lit(0.01)))
+    out = out.where(F.col("part") == own)
+    limit = lambda s: F.when(F.col("files") >= least, F.col("mean") + s * F.col("dev"))
+    out = out.withColumn("low", limit(-1)).withColumn("high", limit(1))
+    return out.select("file_no", "column_name", "field", "metric", "value", "files", "low", "high", ((F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).alias("outside"))

@@ -66,3 +66,9 @@ def p6_profiles(spark: SparkSession, sf: str) -> DataFrame:
 def p6_recorded_differences(spark: SparkSession, sf: str) -> DataFrame:
     """Recorded profiles that disagree with the lines: none where both are sound."""
     return quality.recorded_differences(quality.column_profiles(_files(spark, sf, lines=False)), table(spark, sf, "column_stats"))
+
+
+@query()
+def p6_control_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of all number columns that lie outside of the limits of the sensor's earlier files."""
+    return quality.control_limits(_files(spark, sf, lines=False), table(spark, sf, "filereport")).where("outside")

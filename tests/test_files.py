@@ -104,6 +104,18 @@ def test_profiles_and_recorded_ones(spark):
     assert {(r["file_no"], r["measure"]) for r in quality.recorded_differences(p, rec).collect() if r["file_no"] < 9} == {(2, "finite_count")}
 
 
+def test_control_limits(spark):
+    head = "Flow ID,Flow Duration,Label"
+    texts = {n: [head, *[f"ab1,{100 + n % 3 if n != 11 else 900},BENIGN"] * 4, "ab1,,BENIGN"] for n in range(1, 13)}
+    texts[9] = [head, *["ab1,101,BENIGN"] * 2, *["ab1,,BENIGN"] * 3]
+    f, rep = files_of(spark, texts)
+    whole = quality.control_limits(f, rep)
+    assert {(r["file_no"], r["metric"]) for r in whole.where("outside").collect()} == {(9, "lost"), (11, "median")}
+    assert {r["file_no"] for r in whole.where("outside is null").collect()} == {1, 2, 3, 4}
+    short = dict(history=3, least=2)
+    assert rows(quality.control_limits(f, rep, **short)) == rows(quality.control_limits(f, rep, span=4, **short))
+
+
 def test_late_and_repeated_reports(spark):
     head, row = "Flow ID,Label", "ab1,BENIGN"
     raw = {10: [head, row], 11: ["Flow ID,Label,Time", row + ","], 12: [head, row]}
