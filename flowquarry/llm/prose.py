@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -32,69 +33,91 @@ def _shape(t: str) -> int:
     return 16 + zlib.crc32(t.encode()) % 240
 
 
+#: Columns of a token's row: symbol, shape, kind, length, hash in lower case, languages whose common words have it (bits).
+SYMBOL, SHAPE, KIND, LENGTH, LOWER, LANGUAGES = range(6)
+BREAK_KIND, WORD_KIND, NUMBER_KIND, SIGN_KIND = range(4)
+
+
 class LineModel:
-    """Log odds of not being prose, for each line of a text."""
+    """Log odds of not being prose, for each line of a text.
+
+    Tokens are looked up once each: their rows are kept in a table, so that all else about a text is array arithmetic.
+    """
+
+    def __init__(self, words: frozenset[str], pairs: np.ndarray, rare: float, bias: float, common: Sequence[frozenset[str]] = ()):
+        self.words, self.pairs, self.rare, self.bias, self.common = words, pairs, rare, bias, tuple(common)
+        self._clear()
 
-    def __init__(self, words: frozenset[str], pairs: np.ndarray, rare: float, bias: float):
-        self.words, self.pairs, self.rare, self.bias = words, pairs, rare, bias
-        self._memo: dict[str, tuple[int, int]] = {}
+    def _clear(self) -> None:
+        self._memo: dict[str, int] = {}
+        self._table = np.zeros((1024, 6), np.int64)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_memo"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_memo", "_table")}
 
     def __setstate__(self, s: dict) -> None:
-        self.__dict__.update(s, _memo={})
-
-    def symbols(self, tokens: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        memo = self._memo
-        if len(memo) > 200_000:
-            memo.clear()
-        out = []
-        for t in tokens:
-            s = memo.get(t)
-            if s is None:
-                low = t.lower()
-                c = t[0]
-                code = _BREAK if t == "\n" else _NUMBER if c.isdigit() else _RARE_WORD if c.isalpha() and low not in self.words else 16 + zlib.crc32(low.encode())
-                s = memo[t] = (code, _shape(t))
-            out.append(s)
-        a = np.array(out, np.int64).reshape(-1, 2)
-        return a[:, 0], a[:, 1]
-
-    def slots(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Slots of the text's token pairs (words, then shapes) and the line of each pair."""
+        self.__dict__.update(s)
+        self._clear()
+
+    def _add(self, t: str) -> int:
+        at = self._memo[t] = len(self._memo)
+        if at == len(self._table):
+            self._table = np.concatenate([self._table, np.zeros_like(self._table)])
+        low, c = t.lower(), t[0]
+        kind = BREAK_KIND if t == "\n" else NUMBER_KIND if c.isdigit() else WORD_KIND if c.isalpha() else SIGN_KIND
+        code = zlib.crc32(low.encode())
+        symbol = _BREAK if kind == BREAK_KIND else _NUMBER if kind == NUMBER_KIND else _RARE_WORD if kind == WORD_KIND and low not in self.words else 16 + code
+        self._table[at] = symbol, _shape(t), kind, len(t), code, sum((low in ws) << k for k, ws in enumerate(self.common)) if kind == WORD_KIND else 0
+        return at
+
+    def rows(self, text: str) -> np.ndarray:
+        """A row per token, with a line break before and after."""
+        if len(self._memo) > 300_000:
+            self._clear()
         tokens = ["\n", *_TOKEN.findall(text), "\n"]
-        word, shape = self.symbols(tokens)
+        get = self._memo.get
+        ids = [get(t, -1) for t in tokens]
+        if -1 in ids:
+            ids = [i if i >= 0 else self._memo[t] if t in self._memo else self._add(t) for i, t in zip(ids, tokens)]
+        return self._table[ids]
+
+    @staticmethod
+    def slots(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slots of neighbouring tokens (words, then shapes) and the line of each pair."""
+        word, shape = rows[:, SYMBOL], rows[:, SHAPE]
         line = np.cumsum(word == _BREAK) - 1
         mix = lambda a, b, k: ((((a * np.int64(1_000_003) + b) * np.int64(2_654_435_761) + k) >> np.int64(7)) & np.int64(SIZE - 1))
         with np.errstate(over="ignore"):
             pairs, shapes = mix(word[:-1], word[1:], 1), mix(shape[:-1], shape[1:], 2)
         return pairs, shapes, line[:-1]
 
-    def line_odds(self, text: str) -> np.ndarray:
-        pairs, shapes, line = self.slots(text)
-        odds = self.pairs[pairs] + self.pairs[shapes]
-        return np.bincount(line, weights=odds) + self.bias
+    def line_odds(self, rows: np.ndarray) -> np.ndarray:
+        pairs, shapes, line = self.slots(rows)
+        return np.bincount(line, weights=self.pairs[pairs] + self.pairs[shapes]) + self.bias
 
-    def share(self, text: str) -> tuple[float, float]:
+    def share(self, text: str, rows: np.ndarray | None = None, lines: list[str] | None = None) -> tuple[float, float]:
         """Expected share of the characters (without white space at line ends) in lines that are no prose, and in repeated lines.
 
-        Lines that come three times or more, and texts of few different token triples, say nothing new: no prose.
+        Lines that come three times or more, and texts of few different word triples, say nothing new: no prose.
         """
-        lines = [x.strip() for x in text.split("\n")]
+        rows = self.rows(text) if rows is None else rows
+        lines = [x.strip() for x in text.split("\n")] if lines is None else lines
         size = np.array([len(x) for x in lines], float)
         total = size.sum()
         if not total:
             return 1.0, 0.0
-        odds = self.line_odds(text)[: len(lines)]
+        odds = self.line_odds(rows)[: len(lines)]
         junk = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        seen: dict[str, int] = {}
-        for x in lines:
-            seen[x] = seen.get(x, 0) + 1
-        again = np.array([seen[x] > 2 for x in lines])
-        words = text.lower().split()
-        if len(words) >= 30 and len(set(zip(words, words[1:], words[2:]))) < 0.3 * len(words):
-            again[:] = True
+        again = np.zeros(len(lines), bool)
+        if len(lines) > 2 and len(set(lines)) < len(lines) - 1:
+            seen = Counter(lines)
+            again = np.array([seen[x] > 2 for x in lines])
+        words = rows[rows[:, KIND] == WORD_KIND, LOWER]
+        if len(words) >= 30:
+            with np.errstate(over="ignore"):
+                triples = (words[:-2] * np.int64(1_000_003) + words[1:-1]) * np.int64(1_000_033) + words[2:]
+            if len(np.unique(triples)) < 0.3 * len(words):
+                again[:] = True
         junk[again] = 1.0
         return float((size * junk).sum() / total), float(size[again].sum() / total)
 
@@ -106,7 +129,7 @@ def fit_line_model(texts: Sequence[str], junk: Sequence[float], *, rounds: int =
         for w in {x.lower() for x in _TOKEN.findall(t) if x[0].isalpha()}:
             df[w] = df.get(w, 0) + 1
     model = LineModel(frozenset(w for w, n in df.items() if n >= least_documents), np.zeros(SIZE, np.float32), 0.0, 0.0)
-    parts = [model.slots(t) for t in texts]
+    parts = [model.slots(model.rows(t)) for t in texts]
     docs = np.zeros(SIZE, np.int32)
     for p, s, _ in parts:
         docs[np.unique(np.concatenate([p, s]))] += 1

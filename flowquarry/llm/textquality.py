@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowquarry.llm.prose import _TOKEN, LineModel, fit_line_model
+from flowquarry.llm.prose import KIND, LANGUAGES, LENGTH, LOWER, NUMBER_KIND, SIGN_KIND, WORD_KIND, LineModel, fit_line_model
 from flowquarry.llm.tokens import plain_key
 from flowquarry.session import stored
 
@@ -28,30 +28,33 @@ STATISTICS = ["words", "mean_word_length", "symbol_ratio", "digit_ratio", "punct
 ENDINGS = ".!?…:;\"»”)"
 
 
-def text_statistics(text: str, words_of: dict[str, frozenset[str]], lang: str | None, model: LineModel) -> tuple[str, list[float]]:
-    """(language, statistics in the order of STATISTICS) of a text that isn't blank.
+def text_statistics(text: str, languages: Sequence[str], lang: str | None, model: LineModel) -> tuple[str, list[float]]:
+    """(language, statistics in the order of STATISTICS) of a text that isn't blank; the model knows the languages' common words.
 
     An unlisted language is replaced by the one whose common words the text has most, else und.
     """
-    tokens = _TOKEN.findall(text)
-    words = [t.lower() for t in tokens if t[0].isalpha()]
+    rows = model.rows(text)
+    kind, length = rows[:, KIND], rows[:, LENGTH]
+    words = rows[kind == WORD_KIND]
     n = len(words)
-    if lang not in words_of:
-        shares = sorted(((sum(w in ws for w in words), k) for k, ws in words_of.items()), key=lambda x: (-x[0], x[1]))
-        lang = shares[0][1] if shares and shares[0][0] > 0.05 * max(n, 1) else "und"
-    common = words_of.get(lang, frozenset())
-    lines = [x.strip() for x in text.split("\n") if x.strip()]
-    solid = max(1, sum(not c.isspace() for c in text))
-    junk, again = model.share(text)
+    if lang not in languages:
+        shares = [(int(((words[:, LANGUAGES] >> k) & 1).sum()), -k) for k in range(len(languages))]
+        most = max(shares, default=(0, 0))
+        lang = languages[-most[1]] if most[0] > 0.05 * max(n, 1) else "und"
+    hits = int(((words[:, LANGUAGES] >> languages.index(lang)) & 1).sum()) if lang in languages else 0
+    lines = [x.strip() for x in text.split("\n")]
+    filled = [x for x in lines if x]
+    solid = max(1, len("".join(text.split())))
+    junk, again = model.share(text, rows, lines)
     return lang, [
         float(n),
-        sum(map(len, words)) / n if n else 0.0,
-        sum(1 for t in tokens if t != "\n" and not t[0].isalnum()) / solid,
-        sum(len(t) for t in tokens if t[0].isdigit()) / solid,
-        sum(x[-1] in ENDINGS for x in lines) / max(1, len(lines)),
-        sum(w in common for w in words) / n if n else 0.0,
-        n / max(1, len(lines)),
-        len(set(words)) / n if n else 0.0,
+        float(words[:, LENGTH].sum()) / n if n else 0.0,
+        int((kind == SIGN_KIND).sum()) / solid,
+        float(length[kind == NUMBER_KIND].sum()) / solid,
+        sum(x[-1] in ENDINGS for x in filled) / max(1, len(filled)),
+        hits / n if n else 0.0,
+        n / max(1, len(filled)),
+        len(np.unique(words[:, LOWER])) / n if n else 0.0,
         again,
         junk,
     ]
@@ -74,18 +77,20 @@ def document_statistics(docs: DataFrame, common: DataFrame, model: LineModel) ->
     words_of: dict[str, set[str]] = {}
     for r in common.select(plain_key(F.col("lang")).alias("lang"), F.lower("word").alias("word")).where("lang is not null and word is not null").collect():  # of fixed size
         words_of.setdefault(r["lang"], set()).add(r["word"])
-    shared = docs.sparkSession.sparkContext.broadcast(({k: frozenset(v) for k, v in words_of.items()}, model))  # a table of fixed size
+    languages = sorted(words_of)
+    informed = LineModel(model.words, model.pairs, model.rare, model.bias, [frozenset(words_of[k]) for k in languages])
+    shared = docs.sparkSession.sparkContext.broadcast((languages, informed))  # a table of fixed size
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", plain_key(F.col("lang")).alias("lang"), "text").where("text is not null")
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, lines = shared.value
+        known, lines = shared.value
         for b in batches:
             out, keep = [], []
             for i, (text, lang) in enumerate(zip(b.column("text").to_pylist(), b.column("lang").to_pylist())):
                 if text.strip():
                     keep.append(i)
-                    out.append(text_statistics(text, words, lang, lines))
+                    out.append(text_statistics(text, known, lang, lines))
             at = pa.array(keep, pa.int64())
             cols = [pa.array([s[j] for _, s in out], pa.float64()) for j in range(len(STATISTICS))]
             yield pa.RecordBatch.from_arrays([b.column("row").take(at), b.column("doc_id").take(at), pa.array([x for x, _ in out], pa.string()), *cols], names=["row", "doc_id", "language", *STATISTICS])
