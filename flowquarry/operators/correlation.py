@@ -3,34 +3,74 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowquarry.functions.scalars import finite_or_null, is_finite, q, signed_log10
+from flowquarry.functions.scalars import is_finite, q, signed_log10
 from flowquarry.operators.orderstats import exact_quantiles
 
-#: Pairs whose sums one aggregate carries; more pairs take more aggregates, still over one scan each.
-PAIRS = 60
+#: Moments of a pair of columns: rows, means, sums of squares and products about the means, least and greatest values.
+_STATE = ("n", "mean_a", "mean_b", "saa", "sbb", "sab", "lo_a", "hi_a", "lo_b", "hi_b")
+_NONE = (0.0, 0.0, 0.0, 0.0, 0.0, 0.0, np.inf, -np.inf, np.inf, -np.inf)
+
+
+def _moments(a: np.ndarray, b: np.ndarray) -> tuple[float, ...]:
+    if not len(a):
+        return _NONE
+    mean_a, mean_b = a.mean(), b.mean()
+    da, db = a - mean_a, b - mean_b
+    return len(a), mean_a, mean_b, da @ da, db @ db, da @ db, a.min(), a.max(), b.min(), b.max()
+
+
+def _merged(parts: np.ndarray) -> np.ndarray:
+    """States (part, pair, moment) as one state a pair; deviations of the parts' means are taken from the common mean."""
+    n, mean_a, mean_b, saa, sbb, sab, lo_a, hi_a, lo_b, hi_b = np.moveaxis(parts, 2, 0)
+    rows = n.sum(0)
+    means = [(n * m).sum(0) / np.maximum(rows, 1) for m in (mean_a, mean_b)]
+    da, db = mean_a - means[0], mean_b - means[1]
+    sums = [s.sum(0) + (n * d).sum(0) for s, d in ((saa, da * da), (sbb, db * db), (sab, da * db))]
+    return np.stack([rows, *means, *sums, lo_a.min(0), hi_a.max(0), lo_b.min(0), hi_b.max(0)], axis=1)
 
 
 def correlations(df: DataFrame, columns: Sequence[str], *, min_rows: int = 30) -> DataFrame:
-    """(column_a, column_b, r, n): Pearson's r over the rows where both are finite; null below min_rows or without spread."""
-    d = df.select(*[finite_or_null(q(c).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)])
-    out = None
+    """(column_a, column_b, r, n): Pearson's r over the rows where both are finite; null below min_rows or without spread.
+
+    One scan; each task gives one state a pair, and the states of a pair are merged together.
+    """
     pairs = list(itertools.combinations(range(len(columns)), 2))
-    for at in range(0, len(pairs), PAIRS):
-        some = pairs[at : at + PAIRS]
-        aggs = []
-        for n, (a, b) in enumerate(some):
-            both = F.col(f"c{a}").isNotNull() & F.col(f"c{b}").isNotNull()
-            aggs += [F.corr(f"c{a}", f"c{b}").alias(f"r{n}"), F.count_if(both).alias(f"n{n}")]
-        row = d.agg(*aggs)
-        items = F.array(*[F.struct(F.lit(columns[a]).alias("column_a"), F.lit(columns[b]).alias("column_b"), F.when((F.col(f"n{n}") >= min_rows) & ~F.isnan(f"r{n}"), F.col(f"r{n}")).alias("r"), F.col(f"n{n}").alias("n")) for n, (a, b) in enumerate(some)])
-        part = row.select(F.explode(items).alias("x")).select("x.*")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else df.sparkSession.createDataFrame([], "column_a string, column_b string, r double, n long")
+    names = list(columns)
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                x = [c.to_numpy(zero_copy_only=False).astype("float64", copy=False) for c in batch.columns]
+                finite = [np.isfinite(v) for v in x]
+                part = np.array([_moments(x[a][both], x[b][both]) for a, b in pairs for both in (finite[a] & finite[b],)])
+                total = part if total is None else _merged(np.stack([total, part]))
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(pairs)), pa.int32()), *[pa.array(total[:, i]) for i in range(len(_STATE))]], ["pair", *_STATE])
+
+    def measured(parts: pa.Table) -> pa.Table:
+        pair = parts.column("pair")[0].as_py()
+        with np.errstate(all="ignore"):
+            n, _, _, saa, sbb, sab, lo_a, hi_a, lo_b, hi_b = _merged(np.stack([parts.column(c).to_numpy() for c in _STATE], axis=1)[:, None, :])[0]
+            r = sab / (np.sqrt(saa) * np.sqrt(sbb))
+        known = n >= min_rows and lo_a < hi_a and lo_b < hi_b and np.isfinite(r)
+        a, b = pairs[pair]
+        return pa.table({"column_a": [names[a]], "column_b": [names[b]], "r": pa.array([float(r) if known else None], pa.float64()), "n": pa.array([int(n)], pa.int64())})
+
+    schema = "column_a string, column_b string, r double, n long"
+    if not pairs:
+        return df.sparkSession.createDataFrame([], schema)
+    fields = f"pair int, {', '.join(f'{c} double' for c in _STATE)}"
+    d = df.select(*[q(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    empty = df.sparkSession.range(len(pairs)).select(F.col("id").cast("int").alias("pair"), *[F.lit(v).alias(c) for c, v in zip(_STATE, _NONE)])
+    return d.mapInArrow(states, fields).unionByName(empty).groupBy("pair").applyInArrow(measured, schema)
 
 
 def signed_log_histogram(df: DataFrame, column: str, by: Column, bins: int = 40) -> DataFrame:

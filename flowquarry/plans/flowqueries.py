@@ -251,6 +251,16 @@ def correlated_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return correlation.correlations(_flows(spark, sf), _SIX).where(F.abs("r") >= 0.5).withColumn("r", F.round("r", 6))
 
 
+_ALL_PAIRS = "\n  union all ".join(f"select '{a}' as column_a, '{b}' as column_b, {_X.format(a)} as a, {_X.format(b)} as b from flows" for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :])
+
+
+@query(f"""select * from (select column_a, column_b, round(corr(a, b), 6) as r, count(*) as n from ({_ALL_PAIRS}) where isfinite(a) and isfinite(b) group by 1, 2 having count(*) >= 30)
+where not isnan(r) and abs(r) >= 0.5""")
+def correlated_pairs_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All 231 pairs of the features; correlated_pairs has the 15 of six columns that its SQL fixes."""
+    return correlation.correlations(_flows(spark, sf), FEATURES).withColumn("r", F.round("r", 6)).where(F.abs("r") >= 0.5)
+
+
 @query(f"""with d as (select is_attack as class, sign(x) * log10(1 + abs(x)) as x from (select is_attack, {_X.format('Flow Duration')} as x from flows) where isfinite(x)),
   e as (select min(x) as lo, max(x) as hi from d), b as (select class, least(39, floor((x - lo) / ((hi - lo) / 40)))::bigint as bin, (hi - lo) / 40 as width from d, e)
 select class, bin, count(*) as n, round(count(*) / (sum(count(*)) over (partition by class) * any_value(width)), 6) as density from b group by class, bin""")
