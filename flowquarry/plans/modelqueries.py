@@ -32,7 +32,7 @@ def _flows(spark: SparkSession, sf: str) -> DataFrame:
 
 def _forest(spark: SparkSession, sf: str) -> tuple[DataFrame, models.Scorer]:
     f = _flows(spark, sf)
-    return f, models.fit(f.where("split = 'train'"), FEATURES, F.col("is_attack"), "random_forest", trees=20, depth=8)
+    return f, models.fit(f.where("split = 'train'"), FEATURES, F.col("is_attack"), "random_forest")
 
 
 @query()
@@ -47,7 +47,7 @@ def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
     f = _flows(spark, sf)
     out = None
     for spec in models.SPECS:
-        s = models.fit(f.where("split = 'train'"), FEATURES, F.col("is_attack"), spec, trees=10, depth=6)
+        s = models.fit(f.where("split = 'train'"), FEATURES, F.col("is_attack"), spec)
         for split in ("val", "test"):
             p = s.score(f.where(F.col("split") == split), KEEP)
             row = metrics.rates(metrics.confusion(p, F.col("is_attack"), F.col("p") >= 0.5)).crossJoin(metrics.ranking_metrics(p, F.col("is_attack"), F.col("p")))  # two single rows
@@ -59,13 +59,13 @@ def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def leave_one_family_out(spark: SparkSession, sf: str) -> DataFrame:
     f = _flows(spark, sf).where("family is not null")
-    s = models.leave_one_out(f.where("split = 'train'"), f.where("split = 'test'"), "family", FEATURES, F.col("is_attack"), "BENIGN", KEEP, trees=10, depth=6)
+    s = models.leave_one_out(f.where("split = 'train'"), f.where("split = 'test'"), "family", FEATURES, F.col("is_attack"), "BENIGN", KEEP)
     return metrics.held_out_rates(s, "held", F.col("family"), F.col("is_attack"), {"forest": F.col("p") >= 0.5})
 
 
 @query()
 def held_out_friday(spark: SparkSession, sf: str) -> DataFrame:
-    s = models.held_out_prefix(_flows(spark, sf), "source_file", "Friday", FEATURES, F.col("is_attack"), KEEP, trees=10, depth=6)
+    s = models.held_out_prefix(_flows(spark, sf), "source_file", "Friday", FEATURES, F.col("is_attack"), KEEP)
     return metrics.rates(metrics.confusion(s, F.col("is_attack"), F.col("p") >= 0.5))
 
 
@@ -75,7 +75,7 @@ def isolation_forest_scores(spark: SparkSession, sf: str) -> DataFrame:
     f = _flows(spark, sf)
     prep = fit_preprocessor(f.where("split = 'train'"), FEATURES)
     benign = prep.transform(f.where("split = 'train' and is_attack = 0"), ["flow_id"])
-    forest = iforest.fit_isolation_forest(benign, prep.kept, "flow_id", trees=100)
+    forest = iforest.fit_isolation_forest(benign, prep.kept, "flow_id")
     return forest.transform(prep.transform(f.where("split = 'test'"), ["flow_id", "is_attack"])).select("flow_id", "is_attack", "anomaly_score")
 
 
@@ -138,7 +138,7 @@ def port_ablation(spark: SparkSession, sf: str) -> DataFrame:
     f = _flows(spark, sf)
     out = None
     for name, exclude in (("without port", ("Destination Port",)), ("with port", ())):
-        s = models.fit(f.where("split = 'train'"), FEATURES, F.col("is_attack"), exclude=exclude, trees=10, depth=6).score(f.where("split = 'test'"), KEEP)
+        s = models.fit(f.where("split = 'train'"), FEATURES, F.col("is_attack"), exclude=exclude).score(f.where("split = 'test'"), KEEP)
         row = metrics.rates(metrics.confusion(s, F.col("is_attack"), F.col("p") >= 0.5)).withColumn("features", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
@@ -148,9 +148,9 @@ def port_ablation(spark: SparkSession, sf: str) -> DataFrame:
 def detector_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Classifier, isolation forest and the three-way decision for the test flows: one select chain over fitted models."""
     f = _flows(spark, sf)
-    scorer = models.fit(f.where("split = 'train'"), FEATURES, F.col("is_attack"), trees=10, depth=6)
+    scorer = models.fit(f.where("split = 'train'"), FEATURES, F.col("is_attack"))
     prep = scorer.prep
-    forest = iforest.fit_isolation_forest(prep.transform(f.where("split = 'train' and is_attack = 0"), ["flow_id"]), prep.kept, "flow_id", trees=50)
+    forest = iforest.fit_isolation_forest(prep.transform(f.where("split = 'train' and is_attack = 0"), ["flow_id"]), prep.kept, "flow_id")
     scored = forest.transform(prep.transform(f.where("split <> 'train'"), ["flow_id", "split", "is_attack"])).select("flow_id", "split", "is_attack", "anomaly_score")
     threshold = metrics.threshold_for_fpr(scored.where("split = 'val' and is_attack = 0"), "anomaly_score", [0.05]).first()["threshold"]  # one number
     p = scorer.score(f.where("split = 'test'"), ["flow_id"])

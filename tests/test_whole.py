@@ -5,8 +5,9 @@ import os
 import numpy as np
 import pytest
 
-from flowquarry.operators import correlation
-from flowquarry.plans import core
+from flowquarry.operators import correlation, iforest, models
+from flowquarry.operators.features import Preprocessor
+from flowquarry.plans import core, modelqueries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -31,3 +32,34 @@ def test_pairs_of_large_means_over_batches_and_of_no_rows(spark):
     k = np.arange(50_000)
     assert row["n"] == 50_000 and row["r"] == pytest.approx(np.corrcoef(k % 97, -(k % 97) + k % 2)[0, 1], abs=1e-9)
     assert [tuple(r) for r in correlation.correlations(df.where("a < 0"), ["a", "b"]).collect()] == [("a", "b", None, 0)]
+
+
+class Guess:
+    """In place of an estimator: nothing is trained."""
+
+    def fit(self, vectors):
+        return 0.5
+
+
+@pytest.mark.parametrize("name", ["random_forest_scores", "model_comparison", "leave_one_family_out", "held_out_friday", "isolation_forest_scores", "port_ablation", "detector_scores"])
+def test_models_have_the_operators_own_size(name, spark, monkeypatch):
+    forests, isolation = set(), set()
+
+    def estimator(spec, seed=42, trees=100, depth=12):
+        forests.add((trees, depth))
+        return Guess()
+
+    def isolate(df, features, key, *, trees=200, sample=256, seed=42):
+        isolation.add((trees, sample))
+        return iforest.IsolationForest(features, [np.array([[-1, 0, -1, -1, 1.0]])], sample)
+
+    def prepared(train, columns, **how):
+        return Preprocessor(list(columns), list(columns), medians=dict.fromkeys(columns, 0.0))
+
+    monkeypatch.setattr(models, "estimator", estimator)
+    monkeypatch.setattr(iforest, "fit_isolation_forest", isolate)
+    monkeypatch.setattr(models, "fit_preprocessor", prepared)
+    monkeypatch.setattr(modelqueries, "fit_preprocessor", prepared)
+    core.QUERIES[name](spark, SF)
+    assert forests or isolation
+    assert forests <= {(100, 12)} and isolation <= {(200, 256)}
