@@ -6,6 +6,7 @@ that order after one random offset, and a document is taken once for each intege
 copies spread evenly over sizes and their tokens stay near the target. Positions in a source come from counts of
 (size, block) and ranks within a block, never from one sort of a whole source. As the copies are the same for all
 documents of a source, the position of every boundary is known beforehand, and only chosen documents are joined.
+Texts are read once, for their sizes. Whether a source falls short is read off the selection.
 """
 
 from __future__ import annotations
@@ -21,13 +22,16 @@ BLOCK = 50_000
 RUN = 10_000
 
 
-def placed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
-    """(source, doc_id, tokens, place): the place of each document within its source, from 1, by size.
+def sized_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(source, doc_id, tokens) of the documents with a source and at least one token; sources trimmed and in lower case.
 
-    Sources are compared trimmed and in lower case. Documents without source or tokens take no part; repeated ids
-    count by their rows.
+    Repeated ids count by their rows. The result takes the place of the texts: store it once and use it for all mixes.
     """
-    sized = docs.select(plain_key(F.col(f"`{source_col}`")).alias("source"), F.col(f"`{id_col}`").alias("doc_id"), token_count(F.col(f"`{text_col}`")).alias("tokens")).where("source is not null and tokens > 0")
+    return docs.select(plain_key(F.col(f"`{source_col}`")).alias("source"), F.col(f"`{id_col}`").alias("doc_id"), token_count(F.col(f"`{text_col}`")).alias("tokens")).where("source is not null and tokens > 0")
+
+
+def placed_documents(sized: DataFrame, *, block: int = BLOCK) -> DataFrame:
+    """(source, doc_id, tokens, place): the place of each document within its source, from 1, by size."""
     counts = sized.groupBy("source", "tokens").agg(F.count("*").alias("n"))
     blocks = counts.select("source", "tokens", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     keyed = sized.join(blocks, ["source", "tokens"]).withColumn("block", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.col("blocks")).cast("int")).drop("blocks")
@@ -38,22 +42,21 @@ def placed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return keyed.withColumn("r", rank).join(start, ["source", "tokens", "block"]).select("source", "doc_id", "tokens", (F.col("start") + F.col("r")).alias("place"))
 
 
-def mix_rates(docs: DataFrame, targets: DataFrame, *, text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row of targets: the source's documents and tokens, copies per document, and whether the cap keeps it short.
+def mix_rates(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per row of targets: the source's documents and tokens, and the copies of each of its documents that are expected.
 
-    short: all tokens of the source times max_repeats are fewer than target_share * total_tokens. Null shares, sizes
-    and caps count as zero.
+    copies = wanted tokens (target_share * total_tokens) / tokens of the source, at most max_repeats. Null shares,
+    sizes and caps count as zero.
     """
-    totals = docs.select(plain_key(F.col(f"`{source_col}`")).alias("key"), token_count(F.col(f"`{text_col}`")).alias("t")).where("key is not null").groupBy("key").agg(F.sum("t").alias("source_tokens"), F.count_if(F.col("t") > 0).alias("documents"))
+    totals = sized.groupBy(F.col("source").alias("key")).agg(F.sum("tokens").alias("source_tokens"), F.count("*").alias("documents"))
     want = targets.select("mix_no", "source", "target_share", "max_repeats", "total_tokens", plain_key(F.col("source")).alias("key"), (F.coalesce("target_share", F.lit(0.0)) * F.coalesce("total_tokens", F.lit(0))).alias("wanted"))
     joined = want.join(totals, "key", "left").withColumn("source_tokens", F.coalesce("source_tokens", F.lit(0))).withColumn("documents", F.coalesce("documents", F.lit(0)))
-    cap = F.coalesce("max_repeats", F.lit(0))
-    return joined.withColumn("copies", F.coalesce(F.least(cap.cast("double"), F.try_divide(F.col("wanted"), F.col("source_tokens"))), F.lit(0.0))).withColumn("short", F.col("source_tokens") * cap < F.col("wanted"))
+    return joined.withColumn("copies", F.coalesce(F.least(F.coalesce("max_repeats", F.lit(0)).cast("double"), F.try_divide(F.col("wanted"), F.col("source_tokens"))), F.lit(0.0)))
 
 
-def mixed_documents(docs: DataFrame, rates: DataFrame, *, seed: int = 3, **columns: str) -> DataFrame:
+def mixed_documents(sized: DataFrame, rates: DataFrame, *, seed: int = 3) -> DataFrame:
     """(mix_no, source, doc_id, tokens, copies): the selection, by systematic sampling with the rates of mix_rates."""
-    placed = placed_documents(docs, **columns)
+    placed = placed_documents(sized)
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "mix_no", "key"), 11).cast("double") / F.lit(float(1 << 53))
     rows = rates.where("copies > 0 and documents > 0").select("mix_no", "key", "copies", "documents", u.alias("u")).withColumn("boundaries", F.floor(F.col("documents") * F.col("copies") + F.col("u")).cast("long"))
     runs = rows.where("boundaries > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("boundaries") - 1) / RUN))))
@@ -64,12 +67,20 @@ def mixed_documents(docs: DataFrame, rates: DataFrame, *, seed: int = 3, **colum
 
 
 def mix_report(rates: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rates with tokens reached, their share of the mix, and the most copies of one document."""
-    got = chosen.groupBy("mix_no", F.col("source").alias("key")).agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens_reached"), F.max("copies").alias("most_copies"), F.count("*").alias("documents_used"))
+    """The rates with tokens reached, their share of the mix, the copies used, and whether the source falls short.
+
+    short: the selection holds every document of the source as often as the cap allows (or there is nothing to take)
+    and its tokens are still fewer than wanted. A selection that isn't exhausted misses its target by sampling only.
+    """
+    got = chosen.groupBy("mix_no", F.col("source").alias("key")).agg(
+        F.sum(F.col("tokens") * F.col("copies")).alias("tokens_reached"), F.max("copies").alias("most_copies"), F.min("copies").alias("least_copies"), F.count("*").alias("documents_used")
+    )
     total = got.groupBy("mix_no").agg(F.sum("tokens_reached").alias("mix_tokens"))
     out = rates.join(got, ["mix_no", "key"], "left").join(total, "mix_no", "left")
-    reached = F.coalesce("tokens_reached", F.lit(0))
+    reached, used = F.coalesce("tokens_reached", F.lit(0)), F.coalesce("documents_used", F.lit(0))
+    exhausted = (used == F.col("documents")) & (F.coalesce("least_copies", F.lit(0)) >= F.coalesce("max_repeats", F.lit(0)))
+    nothing = (F.col("documents") == 0) | (F.coalesce("max_repeats", F.lit(0)) <= 0)
     return out.select(
-        "mix_no", "source", "target_share", "max_repeats", "total_tokens", "source_tokens", "documents", "copies", "short",
-        reached.alias("tokens_reached"), F.try_divide(reached, F.col("mix_tokens")).alias("share_reached"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce("documents_used", F.lit(0)).alias("documents_used"),
+        "mix_no", "source", "target_share", "max_repeats", "total_tokens", "source_tokens", "documents", "copies", "wanted", ((exhausted | nothing) & (reached < F.col("wanted"))).alias("short"),
+        reached.alias("tokens_reached"), F.try_divide(reached, F.col("mix_tokens")).alias("share_reached"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), used.alias("documents_used"),
     )

@@ -62,8 +62,7 @@ def _plans(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    cal = calibrate.calibrated_plans(_flow_categories(spark, sf), _plans(spark, sf))
-    return cal.where("short").select("plan_no", F.col("category").alias("family"))
+    return p4_report(spark, sf).where("short").select("plan_no", F.col("category").alias("family"))
 
 
 _NORM = r"lower(trim(regexp_replace(regexp_replace({}, '[\s\x{{00A0}}]*[–—\x{{FFFD}}\x{{0096}}][\s\x{{00A0}}]*', ' - ', 'g'), '[\s\x{{00A0}}]+', ' ', 'g')))"
@@ -79,18 +78,40 @@ where p.target_share * p.sample_rows > coalesce(h.n, 0) or p.min_rows > coalesce
 """
 
 
+def _sampled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    records = stored(_flow_categories(spark, sf))
+    cal = stored(calibrate.calibrated_plans(records, _plans(spark, sf)))
+    return cal, calibrate.pivotal_sample(records, cal)
+
+
 @query
 def p4_sample(spark: SparkSession, sf: str) -> DataFrame:
-    records = _flow_categories(spark, sf)
-    cal = calibrate.calibrated_plans(records, _plans(spark, sf))
-    return calibrate.pivotal_sample(records, cal)
+    return _sampled(spark, sf)[1]
 
 
 @query
 def p4_report(spark: SparkSession, sf: str) -> DataFrame:
-    records = _flow_categories(spark, sf)
-    cal = calibrate.calibrated_plans(records, _plans(spark, sf))
-    return calibrate.sample_report(cal, calibrate.pivotal_sample(records, cal))
+    return calibrate.sample_report(*_sampled(spark, sf))
+
+
+@query
+def p4_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows drawn of each plan: its sample_rows, more where the floors are more, less where the flows are less."""
+    return p4_report(spark, sf).groupBy("plan_no").agg(F.sum("drawn").alias("drawn"), F.sum("available").alias("available"))
+
+
+SQL["p4_sizes"] = f"""
+with have as (
+  select f.source_file, l.family, count(*) as n
+  from flows f join label_family l on lower(trim(l.label)) = {_NORM.format('f.label')}
+  group by all
+), p as (
+  select p.plan_no, p.sample_rows, coalesce(h.n, 0) as n, least(p.min_rows, coalesce(h.n, 0)) as floor, p.target_share
+  from sample_plan p left join have h on h.source_file = p.source_file and h.family = p.family
+)
+select plan_no, cast(greatest(least(max(sample_rows), sum(case when target_share > 0 then n else floor end)), sum(floor)) as bigint) as drawn, cast(sum(n) as bigint) as available
+from p group by 1
+"""
 
 
 # --- 7: filling containers
@@ -129,9 +150,9 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf, "documents")
-    rates = mixing.mix_rates(docs, table(spark, sf, "mix_targets"))
-    return rates, mixing.mixed_documents(docs, rates)
+    sized = stored(mixing.sized_documents(table(spark, sf, "documents")))
+    rates = stored(mixing.mix_rates(sized, table(spark, sf, "mix_targets")))
+    return rates, mixing.mixed_documents(sized, rates)
 
 
 @query
@@ -157,6 +178,21 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_report(*_mixed(spark, sf))
 
 
+@query
+def p8_exhausted(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources that fall short, with what the selection reached: all of their tokens as often as allowed."""
+    return mixing.mix_report(*_mixed(spark, sf)).where("short").select("mix_no", "source", "documents_used", "tokens_reached")
+
+
+SQL["p8_exhausted"] = f"""
+with d as (select lower(trim(source)) as source, {_TOKENS.format('text')} as tokens from documents where source is not null),
+s as (select source, sum(tokens) as tokens, count(*) as n from d where tokens > 0 group by 1)
+select m.mix_no, m.source, cast(coalesce(s.n, 0) as bigint) as documents_used, cast(coalesce(s.tokens, 0) * m.max_repeats as bigint) as tokens_reached
+from mix_targets m left join s on s.source = lower(trim(m.source))
+where coalesce(s.tokens, 0) * m.max_repeats < m.target_share * m.total_tokens
+"""
+
+
 # --- 1: percentiles
 
 MEASURES = ["Flow Bytes/s", "Flow Duration", "Flow IAT Mean"]

@@ -30,8 +30,6 @@ def test_sizes_shares_floors_and_gaps(spark):
     rec = records(spark, {"A": 1000, "B": 200, "C": 30, "D": 3, None: 5})
     pl = plans(spark, [(1, "g", "A", 0.5, 100, 5), (1, "g", "B", 0.4, 100, 5), (1, "g", "C", 0.06, 100, 5), (1, "g", "D", 0.04, 100, 5), (2, "g", "A", 0.333, 10, 0), (2, "g", "B", 0.667, 10, 0), (3, "none", "A", 1.0, 5, 1), (4, "g", "C", 0.9, 20, 0), (4, "g", "Z", 0.1, 20, 0), (5, "g", "C", None, None, None)])
     cal = calibrate.calibrated_plans(rec, pl).cache()
-    short = {(r["plan_no"], r["category"]) for r in cal.where("short").collect()}
-    assert short == {(1, "D"), (3, "A"), (4, "Z")}
     t = {(r["plan_no"], r["category"]): r["target"] for r in cal.collect()}
     assert t[(1, "D")] == 3 and abs(sum(t[(1, c)] for c in "ABCD") - 100) < 1e-9 and t[(1, "C")] >= 5
     assert abs(t[(1, "A")] / t[(1, "B")] - 0.5 / 0.4) < 1e-9
@@ -43,8 +41,10 @@ def test_sizes_shares_floors_and_gaps(spark):
         assert all(abs(n[k] - v) < 1 for k, v in t.items() if v > 0)
         assert n[(2, "A")] + n[(2, "B")] == 10 and (3, "A") not in n
         assert rows(drawn) == rows(calibrate.pivotal_sample(rec.repartition(5), cal, seed=seed, chunk=50))
-    rep = calibrate.sample_report(cal, drawn).where("plan_no = 1 and category = 'A'").first()
-    assert abs(rep["share_reached"] - 0.5) < 0.02
+    report = calibrate.sample_report(cal, drawn).cache()
+    assert {(r["plan_no"], r["category"]) for r in report.where("short").collect()} == {(1, "D"), (3, "A"), (4, "Z")}
+    rep = report.where("plan_no = 1 and category = 'A'").first()
+    assert abs(rep["share_reached"] - 0.5) < 0.02 and report.where("plan_no = 1 and category = 'D'").first()["gap"] == 2
     assert calibrate.calibrated_plans(rec, pl.limit(0)).collect() == [] and calibrate.pivotal_sample(rec.limit(0), cal).collect() == []
 
 
@@ -61,11 +61,38 @@ def test_targets(parts, size):
     share = np.array([p[0] for p in parts])
     share = share / share.sum() if share.sum() > 0 else share
     have, floor = np.array([p[1] for p in parts], float), np.array([p[2] for p in parts], float)
-    t = calibrate.targets_of(share, have, size, floor)
+    lam, t, _ = calibrate.calibrate(have, share, size, floor)
     assert (t <= have + 1e-9).all() and (t >= np.minimum(floor, have) - 1e-9).all()
-    lam, _ = calibrate.tilt(have, t, max(size, 1))
-    ok = (have > 0) & (t > 0)
+    ok = (have > 0) & (t > 0) & (size > 0)
     assert np.allclose((have * max(size, 1) / max(have.sum(), 1) * np.exp(lam))[ok], t[ok], rtol=1e-9)
+    least, most = np.minimum(floor, have).sum(), np.where(share > 0, have, np.minimum(floor, have)).sum()
+    assert abs(t.sum() - max(least, min(size, most))) < 1e-6
+    free = (t > np.minimum(floor, have) + 1e-9) & (t < have - 1e-9)
+    if free.sum() > 1:  # neither at a floor nor at the end: shares are as wanted
+        assert np.allclose(t[free] / t[free].sum(), share[free] / share[free].sum(), rtol=1e-6)
+
+
+def test_fights():
+    rng = np.random.default_rng(4)
+    n = 4000
+    group = np.sort(rng.integers(0, 300, n))
+    p = rng.choice([0.0, 1.0, 0.1, 0.5, 0.93], n)
+    total = np.zeros(n)
+    for k in range(200):
+        got = calibrate.fights(p.copy(), group, rng.integers(-(2**62), 2**62, n))
+        open_ = (got > 0) & (got < 1)
+        assert np.bincount(group[open_], minlength=300).max() <= 1
+        assert np.allclose(np.bincount(group, weights=got), np.bincount(group, weights=p))
+        total += got
+    assert np.abs(total / 200 - p).max() < 0.15 and abs((total / 200 - p).mean()) < 1e-3
+    assert calibrate.fights(np.zeros(0), np.zeros(0, int), np.zeros(0, np.int64)).tolist() == []
+
+
+def test_last_unit_is_drawn_at_random(spark):
+    rec = records(spark, {"A": 3, "B": 3})
+    cal = calibrate.calibrated_plans(rec, plans(spark, [x for p in range(400) for x in ((p, "g", "A", 0.5, 1, 0), (p, "g", "B", 0.5, 1, 0))]))
+    n = calibrate.pivotal_sample(rec, cal.withColumn("probability", F.lit(0.1))).count()
+    assert abs(n - 240) < 60
 
 
 def test_labels(spark):
@@ -136,8 +163,10 @@ def sources(spark):
 def test_mixing(spark, sources):
     docs = spark.createDataFrame(sources, "doc_id long, text string, source string").withColumn("place", F.lit(1)).withColumn("copies", F.lit(2))
     t = spark.createDataFrame([(1, "BIG", 0.7, 2, 4000), (1, "small", 0.3, 3, 4000), (2, "small", 1.0, 1, 10**6), (3, "empty", 0.5, 4, 100), (3, "gone", 0.4, 4, 100), (3, "one", 0.1, 4, 100), (4, None, None, None, None)], "mix_no int, source string, target_share double, max_repeats int, total_tokens long")
+    docs = mixing.sized_documents(docs)
     rates = mixing.mix_rates(docs, t).cache()
-    assert {(r["mix_no"], r["source"]) for r in rates.where("short").collect()} == {(2, "small"), (3, "empty"), (3, "gone"), (3, "one")}
+    short = mixing.mix_report(rates, mixing.mixed_documents(docs, rates)).where("short")
+    assert {(r["mix_no"], r["source"]) for r in short.collect()} == {(2, "small"), (3, "empty"), (3, "gone"), (3, "one")}
     for seed in (3, 4):
         got = mixing.mixed_documents(docs, rates, seed=seed).toPandas()
         small = sum(len(x.split()) for _, x, s in sources if s == "small")
@@ -156,13 +185,13 @@ def test_mixing(spark, sources):
 def test_places_follow_size_in_blocks(spark, sources):
     docs = spark.createDataFrame([*sources, sources[0], sources[0]], "doc_id long, text string, source string")
     for block in (mixing.BLOCK, 2):
-        got = mixing.placed_documents(docs, block=block).where("source = 'big'").orderBy("place").toPandas()
+        got = mixing.placed_documents(mixing.sized_documents(docs), block=block).where("source = 'big'").orderBy("place").toPandas()
         assert got.place.tolist() == list(range(1, len(got) + 1)) and got.tokens.is_monotonic_increasing
 
 
 def test_copies_are_systematic(spark):
     """Every document of a source is taken floor or ceil of its expected copies, and all together as often as expected."""
-    docs = spark.createDataFrame([(i, "w", "s") for i in range(97)], "doc_id long, text string, source string")
+    docs = mixing.sized_documents(spark.createDataFrame([(i, "w", "s") for i in range(97)], "doc_id long, text string, source string"))
     t = spark.createDataFrame([(m, "s", 1.0, 5, 13 * m + 1) for m in range(30)], "mix_no int, source string, target_share double, max_repeats int, total_tokens long")
     got = mixing.mixed_documents(docs, mixing.mix_rates(docs, t)).toPandas()
     for m in range(30):
