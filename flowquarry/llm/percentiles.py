@@ -1,15 +1,22 @@
 """Percentiles of very large numeric columns from mergeable sketches: the dyadic Count-sketch.
 
-A finite value becomes a cell of a signed logarithmic grid over all doubles (22 bits, GRAIN cells per factor e), so a
-cell's middle is within 0.05 % of the value. For each binary resolution of the cells a signed sketch (ROWS x WIDTH
-counters) estimates how many values lie in a dyadic interval; the coarsest resolutions are plain counters. A rank is
-inverted by descending the resolutions. Sketches add up and subtract, over partitions, days and sources.
-
-A state of few distinct cells holds these cells with their counts, which is smaller than the counters; it turns into
-counters as soon as it is not, and the counters of a state are a function of its cells alone, so the result of a merge
-doesn't depend on its order. Rows are turned into states within their partition, in blocks; states, not values, are
-shuffled. They are merged first within partitions and then one after another by key, so that the memory of a task is
-that of one state, however many there are of a key.
+A finite value is encoded as the leading 24 bits of its double, in an order-preserving form; values of one code lie
+within a relative 2^-13 of its middle. For each of the 8 finest binary resolutions of the codes a signed sketch (ROWS x
+WIDTH counters) estimates how many values lie in a dyadic interval; the next resolution, a 32nd of an octave, has plain
+counters. Percentiles are always read off the counters, by descending the resolutions, whatever the size of a group.
+Sketches add up and subtract, over partitions, days and sources.
+
+Counters are a linear function of the codes' counts, so a state is sent in the smaller of two forms: the counters, or,
+as long as they take less room, the codes with their counts, which stand for the very same counters. Which form a state
+has makes no difference to any result. Rows are turned into states within their partition, in blocks; states, not values,
+are shuffled. They are merged first within partitions and then one after another by key, so that the memory of a task
+is that of one state, however many there are of a key.
+
+The bound on the rank is a theorem's, with failure probability DELTA for a percentile: in a row, the estimate of a rank
+is off by the sum of what shares a counter with its nodes. It shares one with any of the HEAVY largest nodes of a level
+with probability at most LEVELS * HEAVY / WIDTH; what the others add has mean 0 and a variance of at most the sum of
+their second moments / WIDTH, which the counters give without their HEAVY largest (Chebyshev's inequality). The median
+of five rows is off only if three are.
 """
 
 from __future__ import annotations
@@ -22,59 +29,62 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GRAIN = 1024
-BITS = 22
-EXACT_BITS = 14
-ROWS, WIDTH = 5, 512
-LEVELS = BITS - EXACT_BITS  # resolutions with a sketch: 0 (cells) to LEVELS - 1
-MOST_CELLS = 8192
+BITS = 24
+EXACT_BITS = 16
+ROWS, WIDTH = 5, 2048
+LEVELS = BITS - EXACT_BITS  # resolutions with a sketch: 0 (codes) to LEVELS - 1
 BLOCK = 250_000
 COUNTERS = (1 << EXACT_BITS) + LEVELS * ROWS * WIDTH
-RELATIVE_ERROR = float(np.expm1(0.5 / GRAIN))
+RELATIVE_ERROR = 2.0**-13
+DELTA, HEAVY = 0.01, 4
+#: Standard deviations of the bound: 10 * 2 * p^3 = DELTA for a row's failure p, at both ends of a code's ranks.
+_SPREAD = ((DELTA / 20) ** (1 / 3) - LEVELS * HEAVY / WIDTH) ** -0.5
+_DROPPED = 64 - BITS
 _ZERO = 1 << (BITS - 1)
-_SHIFT = 745 * GRAIN + 1
+_TOP = np.int64(0x7FFFFFFFFFFFFFFF)
 
 
 def cells_of(v: np.ndarray) -> np.ndarray:
-    """Cells of finite doubles; they never fall where values rise."""
-    with np.errstate(divide="ignore"):
-        size = np.floor(np.log(np.abs(np.where(v == 0, 1.0, v))) * GRAIN).astype(np.int64) + _SHIFT
-    return np.where(v == 0, _ZERO, np.where(v > 0, _ZERO + size, _ZERO - size))
+    """Codes of finite doubles; they never fall where values rise."""
+    b = (np.asarray(v, np.float64) + 0.0).view(np.int64)
+    return ((b ^ ((b >> 63) & _TOP)) >> _DROPPED) + _ZERO
 
 
 def value_of(cell: np.ndarray) -> np.ndarray:
-    """Middle of each cell."""
-    d = np.asarray(cell, np.int64) - _ZERO
-    return np.sign(d) * np.exp((np.abs(d) - _SHIFT + 0.5) / GRAIN) * (d != 0)
+    """Middle of each code's values."""
+    x = ((np.asarray(cell, np.int64) - _ZERO) << _DROPPED) + (1 << (_DROPPED - 1))
+    v = (x ^ ((x >> 63) & _TOP)).view(np.float64)
+    return np.where(np.asarray(cell) == _ZERO, 0.0, v)
 
 
-def _hash(node: np.ndarray, level: int, row: int) -> np.ndarray:
-    x = node.astype(np.uint64) + np.uint64((level * ROWS + row + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+_LEVEL, _ROW = np.arange(LEVELS)[:, None, None], np.arange(ROWS)[None, :, None]
+_SEEDS = ((_LEVEL * ROWS + _ROW + 1).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _places(node: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Column and sign of nodes in the rows of a level that the seeds belong to."""
+    x = node.astype(np.uint64) + seeds
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(31)
+    return (x & np.uint64(WIDTH - 1)).astype(np.int64), 1 - 2 * ((x >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
 
 
-def _place(node: np.ndarray, level: int, row: int) -> tuple[np.ndarray, np.ndarray]:
-    h = _hash(node, level, row)
-    return (h & np.uint64(WIDTH - 1)).astype(np.int64), 1 - 2 * ((h >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
-
-
-def counters_of(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    out = np.zeros(COUNTERS, np.int64)
-    np.add.at(out, cells >> LEVELS, counts)
-    at = 1 << EXACT_BITS
-    for level in range(LEVELS):
-        node = cells >> level
-        for row in range(ROWS):
-            col, sign = _place(node, level, row)
-            out[at : at + WIDTH] += np.rint(np.bincount(col, weights=sign * counts, minlength=WIDTH)).astype(np.int64)
-            at += WIDTH
-    return out
+def counters_of(cells: np.ndarray, counts: np.ndarray, owner: np.ndarray | None = None, owners: int = 1) -> np.ndarray:
+    """Counters of the states that own the codes, one row per owner."""
+    own = (np.zeros(len(cells), np.int64) if owner is None else owner) * COUNTERS
+    out = np.zeros(owners * COUNTERS, np.int64)
+    np.add.at(out, own + (cells >> LEVELS), counts)
+    step = max(1, 4_000_000 // (LEVELS * ROWS))
+    for i in range(0, len(cells), step):
+        col, sign = _places(cells[None, None, i : i + step] >> _LEVEL, _SEEDS)
+        at = own[i : i + step] + (1 << EXACT_BITS) + (_LEVEL * ROWS + _ROW) * WIDTH + col
+        np.add.at(out, at.ravel(), (sign * counts[i : i + step]).ravel())
+    return out.reshape(owners, COUNTERS)
 
 
 class State:
-    """Cells with counts, or counters."""
+    """A sketch in one of its two forms."""
 
     def __init__(self) -> None:
         self.pieces: list[tuple[np.ndarray, np.ndarray]] = []
@@ -94,62 +104,74 @@ class State:
     def add_cells(self, cells: np.ndarray, counts: np.ndarray) -> State:
         self.pieces.append((cells, counts))
         self.size += len(cells)
-        if self.size > 50 * MOST_CELLS:
-            self._fold()
+        if 12 * self.size > 32 * COUNTERS:
+            self.fold()
         return self
 
-    def _fold(self) -> None:
-        if not self.pieces:
-            return
-        cells, at = np.unique(np.concatenate([c for c, _ in self.pieces]), return_inverse=True)
-        counts = np.zeros(len(cells), np.int64)
-        np.add.at(counts, at, np.concatenate([n for _, n in self.pieces]))
-        cells, counts = cells[counts != 0], counts[counts != 0]
-        if self.counters is not None or len(cells) > MOST_CELLS:
-            got = counters_of(cells, counts)
-            self.counters = got if self.counters is None else self.counters + got
-            cells, counts = cells[:0], counts[:0]
-        self.pieces, self.size = ([(cells, counts)] if len(cells) else []), len(cells)
+    def fold(self) -> State:
+        """Codes once each; counters if they are the smaller form, or if a part of the state has no other form."""
+        if self.pieces:
+            cells, at = np.unique(np.concatenate([c for c, _ in self.pieces]), return_inverse=True)
+            counts = np.zeros(len(cells), np.int64)
+            np.add.at(counts, at, np.concatenate([n for _, n in self.pieces]))
+            cells, counts = cells[counts != 0], counts[counts != 0]
+            if self.counters is not None or 12 * len(cells) > 8 * COUNTERS:
+                got = counters_of(cells, counts)[0]
+                self.counters = got if self.counters is None else self.counters + got
+                cells, counts = cells[:0], counts[:0]
+            self.pieces, self.size = ([(cells, counts)] if len(cells) else []), len(cells)
+        return self
 
     def blob(self) -> bytes:
-        self._fold()
+        self.fold()
         if self.counters is not None:
             return b"\x01" + bytes(7) + self.counters.tobytes()
         cells, counts = self.pieces[0] if self.pieces else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         return bytes(8) + counts.tobytes() + cells.astype(np.int32).tobytes()
 
-    def quantiles(self, probs: Sequence[float]) -> tuple[list[float | None], float]:
-        """Values at ranks ceil(p * n), and a bound on the error in ranks: three standard deviations over the levels of the descent."""
-        self._fold()
-        if self.counters is None:
-            if not self.pieces:
-                return [None] * len(probs), 0.0
-            cells, counts = self.pieces[0]
-            upto = np.cumsum(counts)
-            at = np.searchsorted(upto, np.maximum(1, np.ceil(np.asarray(probs) * upto[-1] - 1e-9)))
-            return value_of(cells[np.minimum(at, len(cells) - 1)]).tolist(), 0.0
-        top = self.counters[: 1 << EXACT_BITS]
-        tables = self.counters[1 << EXACT_BITS :].reshape(LEVELS, ROWS, WIDTH)
-        upto = np.cumsum(top)
-        n = int(upto[-1])
-        if n <= 0:
-            return [None] * len(probs), 0.0
-        rank = np.maximum(1, np.ceil(np.asarray(probs) * n - 1e-9))
-        node = np.searchsorted(upto, rank)
-        parent = top[node].astype(float)
-        rank = rank - (upto[node] - top[node])
-        for level in range(LEVELS - 1, -1, -1):
-            left = node * 2
-            both = [np.median([(s := _place(c, level, r))[1] * tables[level, r, s[0]] for r in range(ROWS)], axis=0) for c in (left, left + 1)]
-            part = np.clip((both[0] + parent - both[1]) / 2, 0, parent)
-            right = rank > part
-            node = left + right
-            rank = np.where(right, rank - part, rank)
-            parent = np.where(right, parent - part, part)
-        # a node's estimate is off only if it shares the heaviest twentieth of the counters in three rows of five (once in
-        # a thousand nodes); the others' mean square is the variance of what a node meets in a row
-        light = np.sort(tables.astype(float) ** 2, axis=2)[:, :, : WIDTH * 19 // 20]
-        return value_of(node).tolist(), 3 * float(np.sqrt(np.median(light.mean(2), axis=1).sum()))
+
+def all_counters(states: Sequence[State]) -> np.ndarray:
+    """Counters of each state, as rows."""
+    parts = [(s.fold().pieces or [(np.zeros(0, np.int64), np.zeros(0, np.int64))])[0] for s in states]
+    owner = np.repeat(np.arange(len(states)), [len(c) for c, _ in parts])
+    out = counters_of(np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts]), owner, len(states))
+    for k, s in enumerate(states):
+        if s.counters is not None:
+            out[k] += s.counters
+    return out
+
+
+def quantiles(counters: np.ndarray, probs: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Values at ranks ceil(p * n) (states x probs, NaN for empty states), and the bound on the error in ranks of each state.
+
+    A descent keeps, for each row of counters, that row's estimate of the rank at which its node begins.
+    """
+    size = len(counters)
+    tables = counters[:, 1 << EXACT_BITS :].reshape(size, LEVELS, ROWS, WIDTH)
+    upto = np.cumsum(counters[:, : 1 << EXACT_BITS], axis=1)
+    n = upto[:, -1]
+    rank = np.maximum(1, np.ceil(np.asarray(probs)[None, :] * n[:, None] - 1e-9))
+    node = np.array([np.searchsorted(np.maximum.accumulate(u), r) for u, r in zip(upto, rank)]).reshape(rank.shape)
+    node = np.minimum(node, (1 << EXACT_BITS) - 1)
+    which = np.arange(size)[:, None]
+    begin = np.where(node > 0, upto[which, np.maximum(node - 1, 0)], 0)
+    rows = np.repeat(begin[:, None, :], ROWS, axis=1).astype(float)
+    which, row = which[:, :, None], np.arange(ROWS)[None, :, None]
+    for level in range(LEVELS - 1, -1, -1):
+        left = node * 2
+        col, sign = _places(left[:, None, :], _SEEDS[level][None])
+        end = rows + sign * tables[which, level, row, col]
+        right = rank > np.partition(end, ROWS // 2, axis=1)[:, ROWS // 2]
+        rows = np.where(right[:, None, :], end, rows)
+        node = left + right
+    size_of = np.abs(tables).astype(float)
+    rest = np.einsum("slrw,slrw->slr", size_of, size_of)
+    for _ in range(HEAVY):
+        at = size_of.argmax(3)[..., None]
+        rest -= np.take_along_axis(size_of, at, 3)[..., 0] ** 2
+        np.put_along_axis(size_of, at, 0.0, 3)
+    variance = np.median(np.maximum(rest, 0.0), axis=2).sum(1) / WIDTH
+    return np.where(n[:, None] > 0, value_of(node), np.nan), np.where(n > 0, _SPREAD * np.sqrt(variance), 0.0)
 
 
 def _names(by: Sequence[str]) -> list[str]:
@@ -266,8 +288,8 @@ def subtract_states(states: DataFrame, gone: DataFrame, by: Sequence[str]) -> Da
 def percentiles(states: DataFrame, probs: Sequence[float]) -> DataFrame:
     """The states' keys and counts with a column per percentile (p50 and so on) and the bounds on the error.
 
-    rank_error: bound in ranks (0 where the state holds all cells), by three standard deviations of the sketch;
-    value_error: bound on the relative error of a value of the rank found. Groups without finite values give nulls.
+    rank_error: bound in ranks, which holds for a percentile with probability 1 - DELTA; value_error: bound on the
+    relative error of a value of the rank found. Groups without finite values give nulls.
     """
     keys = [c for c in states.columns if c not in ("n", "missing", "non_finite", "state")]
     labels = [f"p{100 * p:g}".replace(".", "_") for p in probs]
@@ -276,9 +298,15 @@ def percentiles(states: DataFrame, probs: Sequence[float]) -> DataFrame:
 
     def invert(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [State().add(x).quantiles(probs) for x in b.column("state").to_pylist()]
-            cols = [pa.array([q[i] for q, _ in got], pa.float64()) for i in range(len(probs))]
+            values, bounds = [np.zeros((0, len(probs)))], [np.zeros(0)]
+            blobs = b.column("state")
+            for i in range(0, b.num_rows, 8):
+                q, e = quantiles(all_counters([State().add(x.as_py()) for x in blobs[i : i + 8]]), probs)
+                values.append(q)
+                bounds.append(e)
+            q = np.concatenate(values)
+            cols = [pa.array(q[:, i], mask=np.isnan(q[:, i])) for i in range(len(probs))]
             kept = [b.column(c) for c in (*keys, "n", "missing", "non_finite")]
-            yield pa.RecordBatch.from_arrays([*kept, *cols, pa.array([e for _, e in got], pa.float64()), pa.array([RELATIVE_ERROR] * len(got), pa.float64())], names=[*keys, "n", "missing", "non_finite", *labels, "rank_error", "value_error"])
+            yield pa.RecordBatch.from_arrays([*kept, *cols, pa.array(np.concatenate(bounds)), pa.array(np.full(b.num_rows, RELATIVE_ERROR))], names=[*keys, "n", "missing", "non_finite", *labels, "rank_error", "value_error"])
 
     return states.mapInArrow(invert, schema)

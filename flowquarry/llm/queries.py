@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowquarry.llm import calibrate, mixing, packing, percentiles, textquality
@@ -220,6 +220,49 @@ def p1_states(spark: SparkSession, sf: str) -> DataFrame:
     return _states(spark, sf)
 
 
+@query
+def p1_first_deliveries(spark: SparkSession, sf: str) -> DataFrame:
+    """By source, with the rows that were sent again taken out: their sketches are subtracted from those of all rows."""
+    batch = table(spark, sf, "batch").select("batch_id", "flow_no", "source", "received_at", *[f"`{m}`" for m in MEASURES])
+    order = F.row_number().over(Window.partitionBy("batch_id", "flow_no").orderBy("received_at", "source", *[f"`{m}`" for m in MEASURES]))
+    by = {"source": F.col("source")}
+    again = batch.withColumn("delivery", order).where("delivery > 1")
+    return percentiles.percentiles(percentiles.subtract_states(percentiles.sketch_states(batch, by, MEASURES), percentiles.sketch_states(again, by, MEASURES), ["source"]), PROBS)
+
+
+@query
+def p1_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """Per source and measure the counts, and how many of the percentiles lie within their bound of the exact ranks of all rows.
+
+    A percentile at rank k is within its bound if rows of its code, or of codes around it, have ranks from
+    k - rank_error to k + rank_error: a rank is off if all values up to the code are too few, or those below too many.
+    """
+    batch = table(spark, sf, "batch")
+    base = percentiles.sketch_states(batch, {"source": F.col("source")}, MEASURES)
+    labels = [f"p{100 * p:g}" for p in PROBS]
+    est = stored(percentiles.percentiles(base, PROBS))
+    values = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"`{m}`").alias("v")) for m in MEASURES])).alias("x")
+    counted = batch.select("source", values).select("source", "x.measure", "x.v").where("abs(v) < double('inf')").groupBy("source", "measure", "v").agg(F.count("*").alias("c"))
+    e = est.select(F.col("source").alias("s"), F.col("measure").alias("m"), "n", "missing", "non_finite", "rank_error", "value_error", *labels)
+    joined = e.join(counted, F.col("s").eqNullSafe(F.col("source")) & (F.col("m") == F.col("measure")), "left")
+    near = [(F.abs(F.col(c)) * F.col("value_error") * 1.001, F.col(c)) for c in labels]
+    below = [F.coalesce(F.sum(F.when(F.col("v") < x - w, F.col("c"))), F.lit(0)).alias(f"b{i}") for i, (w, x) in enumerate(near)]
+    upto = [F.coalesce(F.sum(F.when(F.col("v") <= x + w, F.col("c"))), F.lit(0)).alias(f"u{i}") for i, (w, x) in enumerate(near)]
+    sums = joined.groupBy("s", "m", "n", "missing", "non_finite", "rank_error").agg(*below, *upto)
+    inside = 0
+    for i, p in enumerate(PROBS):
+        k = F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n") - 1e-9))
+        inside = inside + ((F.col(f"b{i}") < k + F.col("rank_error")) & (F.col(f"u{i}") >= k - F.col("rank_error"))).cast("int")
+    return sums.where("n > 0").select(F.col("s").alias("source"), F.col("m").alias("measure"), "n", "missing", "non_finite", inside.alias("within_bound"))
+
+
+SQL["p1_ranks"] = " union all ".join(
+    f"""select source, '{m}' as measure, count(*) filter (isfinite("{m}")) as n, count(*) filter ("{m}" is null or isnan("{m}")) as missing,
+ count(*) filter (isinf("{m}")) as non_finite, {len(PROBS)} as within_bound from batch group by source having count(*) filter (isfinite("{m}")) > 0"""
+    for m in MEASURES
+)
+
+
 # --- 9: text quality
 
 
