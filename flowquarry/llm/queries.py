@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowquarry.llm import calibrate, mixing, packing, percentiles, textquality
-from flowquarry.llm.overlap import near_record_overlaps, overlap_report
+from flowquarry.llm.overlap import near_record_classes, near_record_overlaps, overlap_report
 from flowquarry.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,10 +43,16 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p2_overlap_report(spark: SparkSession, sf: str) -> DataFrame:
     flows = table(spark, sf, "flows")
-    report = overlap_report(flows, near_record_overlaps(flows, features=FEATURES))
+    report = overlap_report(flows, near_record_classes(flows, features=FEATURES))
     return report.where("split in ('val', 'test')")
 
 
+@query
+def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every flow of the three splits with its class of equal flows and the numbers of linked classes and of partners."""
+    return near_record_classes(table(spark, sf, "flows"), features=FEATURES)
+
+
 # --- 4: sample matching target category proportions
 
 

@@ -60,10 +60,71 @@ def test_copies_ties_nulls_and_other_columns(spark):
 def test_report(spark):
     data = [(1, "train", *[1.0] * 7), (2, "test", *[1.0] * 7), (3, "test", *[1.0] * 6, 9.0), (4, "test", *[7.0] * 7), (5, "val", *[8.0] * 7)]
     df = frame(spark, data)
-    rep = {r["split"]: (r["records"], r["overlapping"], r["pairs"], r["most_agreeing"]) for r in overlap.overlap_report(df, overlap.near_record_overlaps(df, features=NAMES, min_agree=6), by=["split"]).collect()}
+    rep = {r["split"]: (r["records"], r["overlapping"], r["pairs"], r["most_agreeing"]) for r in overlap.overlap_report(df, overlap.near_record_classes(df, features=NAMES, min_agree=6), by=["split"]).collect()}
     assert rep["test"] == (3, 2, 2, 7) and rep["val"] == (1, 0, 0, None)
 
 
+def edit_distance(x, y):
+    d = list(range(len(y) + 1))
+    for i, a in enumerate(x):
+        new = [i + 1]
+        for j, b in enumerate(y):
+            new.append(min(d[j] + (not agree(a, b)), d[j + 1] + 1, new[j] + 1))
+        d = new
+    return d[-1]
+
+
+@pytest.mark.parametrize("hot", [20_000, 4])
+def test_shifted_records_against_all_edit_distances(spark, hot):
+    """Values put in, taken out and changed: the dynamic programme decides, and the field rule keeps fewer."""
+    data = []
+    for i, (no, split, *v) in enumerate(noisy(11, 160)):
+        if i % 3 == 0 and data:
+            v = list(data[i // 2][2:])
+            v = ([7.5, *v[:-1]], [*v[1:], 7.5], [*v[:2], *v[3:], -3.0], [v[0], 9.0, *v[1:-1]])[i % 4]
+        data.append((no, split, *v))
+    got = overlap.near_record_overlaps(frame(spark, data), features=NAMES, min_agree=5, same_fields=False, hot_rows=hot)
+    t, e = [r for r in data if r[1] == "train"], [r for r in data if r[1] in ("val", "test")]
+    want = {(a[0], b[0]) for a in t for b in e if edit_distance(b[2:], a[2:]) <= 2}
+    found = {(r["train_id"], r["eval_id"]) for r in got.collect()}
+    assert found == want
+    strict = {(a, b) for a, b, _ in all_pairs(data, 5)}
+    assert strict < found
+
+
+def test_pieces():
+    assert overlap.cut(range(22), 3) == [(0, 7), (7, 14), (14, 22)]
+    assert overlap.cut([0, 1, 2, 7, 8, 9, 10, 11], 3) == [(0, 3), (7, 9), (9, 12)]
+    assert overlap.cut([3], 3) == [(3, 4)] and overlap.cut([], 3) == []
+    k = overlap._Keys(22, 2)
+    assert k.pieces(()) == [(0, 7, 0), (7, 14, 1), (14, 22, 0)]
+    assert k.pieces(((7, 14),)) == [(0, 7, 1), (14, 18, 1), (18, 22, 1)]
+
+
+def test_one_record_in_a_tenth_of_the_rows_and_one_value_in_a_third(spark):
+    """A frequent record, and frequent first fields: values are cut again until they are rare, and nothing is lost."""
+    rng = np.random.default_rng(12)
+    data = []
+    for i in range(900):
+        v = rng.lognormal(3, 2, 7)
+        if i % 10 == 0:
+            v = np.array([1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0])
+        elif i % 3 == 0:
+            v[:5] = [1.0, 2.0, 3.0, 4.0, 5.0]
+        elif i % 3 == 1:
+            v[2:5] = 0.0
+        data.append((i, ("train", "val", "test")[i % 7 % 3], *map(float, v)))
+    df = frame(spark, data)
+    got = overlap.near_record_overlaps(df, features=NAMES, min_agree=5, hot_rows=20)
+    assert rows(got) == sorted(all_pairs(data, 5), key=lambda t: tuple((False, str(x)) for x in t))
+    per = {}
+    for a, b, _ in all_pairs(data, 5):
+        per[a], per[b] = per.get(a, 0) + 1, per.get(b, 0) + 1
+    classes = {r["id"]: r for r in overlap.near_record_classes(df, features=NAMES, min_agree=5, hot_rows=20).collect()}
+    assert {i: r["partners"] for i, r in classes.items() if r["partners"]} == per and len(classes) == len(data)
+    assert {r["class_id"] for i, r in classes.items() if i % 10 == 0} == {0} and classes[1]["class_id"] == 1
+
+
 def test_banded_distance():
     rng = np.random.default_rng(7)
 
