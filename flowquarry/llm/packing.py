@@ -2,9 +2,9 @@
 
 Each document goes where the sum, over all gaps, of the squared number of open containers with that gap becomes
 smallest. An open container's gap is all that the rule needs, so a task keeps one counter and one list of containers
-per gap. Documents of a group are dealt by hash to chunks that are packed independently; a chunk is large enough that
-its last open containers, some of each gap, weigh little, and small enough that any group, whatever its size, is
-spread over tasks.
+per gap. Documents of a group are dealt by hash to chunks that are packed independently, so that any group, whatever its
+size, is spread over tasks. What a chunk leaves loosely filled is taken out again, dealt together with that of the other
+chunks and packed once more, round by round, until one chunk holds what is left of a group.
 """
 
 from __future__ import annotations
@@ -15,9 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowquarry.llm.tokens import plain_key, token_count
+from flowquarry.session import stored
 
 #: Documents that one task packs together.
 CHUNK = 25_000
+#: Share of the capacity that a container of one chunk of several may leave unused; others are packed again.
+LOOSE = 0.005
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -49,7 +52,7 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return where
 
 
-def pack_documents(docs: DataFrame, containers: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", other: str = "und", chunk: int = CHUNK) -> DataFrame:
+def pack_documents(docs: DataFrame, containers: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", other: str = "und", chunk: int = CHUNK, loose: float = LOOSE) -> DataFrame:
     """(lang, capacity, container, doc_id, piece, pieces, tokens): each document, or each piece of one over the capacity.
 
     Language: trimmed, lower case; the row ``other`` if null or not listed. A document over the capacity is cut into
@@ -63,39 +66,40 @@ def pack_documents(docs: DataFrame, containers: DataFrame, *, id_col: str = "doc
     table = F.create_map(*[F.lit(x) for kv in sorted(caps.items()) for x in kv])
     sized = docs.select(F.col(f"`{id_col}`").alias("doc_id"), plain_key(F.col(f"`{lang_col}`")).alias("l"), token_count(F.col(f"`{text_col}`")).alias("tokens"))
     sized = sized.withColumn("lang", F.when(F.element_at(table, F.col("l")).isNotNull(), F.col("l")).otherwise(F.lit(other)))
-    sized = sized.select("doc_id", "lang", F.element_at(table, F.col("lang")).alias("capacity"), "tokens")
-
-    sizes = sized.groupBy("lang").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / chunk)).cast("int").alias("chunks"))
-    dealt = sized.join(F.broadcast(sizes), "lang").withColumn("chunk", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.col("chunks")).cast("int")).drop("chunks")
+    sized = stored(sized.select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", F.element_at(table, F.col("lang")).alias("capacity"), "tokens"))
+    full, rest = F.floor(F.col("tokens") / F.col("capacity")), F.col("tokens") % F.col("capacity")
+    pieces = F.ceil(F.col("tokens") / F.col("capacity")).alias("pieces")
+    zero = F.lit(0).cast("long")
+    none = sized.where("tokens = 0").select("lang", "capacity", F.lit(None).cast("string").alias("container"), "doc_id", zero.alias("piece"), zero.alias("pieces"), zero.alias("tokens"))
+    whole = sized.where(full > 0).select("lang", "capacity", "row", "doc_id", pieces, F.explode(F.sequence(F.lit(1).cast("long"), full)).alias("piece"))
+    whole = whole.select("lang", "capacity", F.concat_ws("-", "lang", F.lit("full"), "row", "piece").alias("container"), "doc_id", "piece", "pieces", F.col("capacity").cast("long").alias("tokens"))
+    items = sized.where(rest > 0).select("lang", "capacity", "row", "doc_id", pieces, rest.alias("tokens"))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("doc_id", kind="stable")
-        cap, lang, no = int(frame.capacity.iloc[0]), frame.lang.iloc[0], int(frame.chunk.iloc[0])
-        tokens = frame.tokens.to_numpy()
-        full, tail = tokens // cap, tokens % cap
-        ids = frame.doc_id.to_numpy()
-        items = np.flatnonzero(tail > 0)
-        boxes = sum_of_squares(tail[items], cap)
-        whole = np.repeat(np.arange(len(ids)), full)
-        first = int(boxes.max()) + 1 if len(boxes) else 0
-        pieces = full + (tail > 0)
-        none = np.flatnonzero(tokens == 0)
-        part = np.concatenate([np.arange(n) for n in full[full > 0]] or [np.zeros(0, int)]) + 1
-        row = np.concatenate([items, whole, none])
-        box = np.concatenate([boxes, np.arange(first, first + len(whole)), np.full(len(none), -1)])
-        return pd.DataFrame(
-            {
-                "lang": lang, "capacity": cap,
-                "container": [None if b < 0 else f"{lang}-{no}-{b}" for b in box],
-                "doc_id": ids[row],
-                "piece": np.concatenate([pieces[items], part, np.zeros(len(none), int)]),
-                "pieces": pieces[row],
-                "tokens": np.concatenate([tail[items], np.full(len(whole), cap), np.zeros(len(none), int)]),
-            }
-        )
+        frame = frame.sort_values("row", kind="stable")
+        cap, lang, no, step = int(frame.capacity.iloc[0]), frame.lang.iloc[0], int(frame.chunk.iloc[0]), int(frame.step.iloc[0])
+        boxes = sum_of_squares(frame.tokens.to_numpy(), cap)
+        level = np.bincount(boxes, weights=frame.tokens.to_numpy())[boxes]
+        return frame[["lang", "capacity", "row", "doc_id", "pieces", "tokens"]].assign(container=[f"{lang}-{step}-{no}-{b}" for b in boxes], loose=(int(frame.chunks.iloc[0]) > 1) & (cap - level > loose * cap))
 
     kind = dict(sized.dtypes)["doc_id"]
-    return dealt.groupBy("lang", "chunk").applyInPandas(pack, f"lang string, capacity int, container string, doc_id {kind}, piece long, pieces long, tokens long")
+    done, step, before = [], 0, None
+    while True:
+        sizes = {r["lang"]: r["n"] for r in items.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+        if not sizes:
+            break
+        again = before is None or sum(sizes.values()) < 0.9 * before  # else another round would gain little
+        chunks = {k: max(1, -(-n // chunk)) for k, n in sizes.items()}
+        deal = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(chunks.items()) for x in kv]), F.col("lang"))
+        dealt = items.withColumn("chunk", F.pmod(F.xxhash64(F.lit(11 + step), "row", "doc_id"), deal).cast("int")).withColumn("chunks", deal if again else F.lit(1)).withColumn("step", F.lit(step))
+        packed = stored(dealt.groupBy("lang", "chunk").applyInPandas(pack, f"lang string, capacity int, row long, doc_id {kind}, pieces long, tokens long, container string, loose boolean"))
+        done.append(packed.where("not loose").select("lang", "capacity", "container", "doc_id", F.col("pieces").alias("piece"), "pieces", "tokens"))
+        items = packed.where("loose").select("lang", "capacity", "row", "doc_id", "pieces", "tokens")
+        step, before = step + 1, sum(sizes.values())
+    out = none.unionByName(whole)
+    for d in done:
+        out = out.unionByName(d)
+    return out
 
 
 def packing_report(packed: DataFrame) -> DataFrame:
