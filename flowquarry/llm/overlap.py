@@ -194,11 +194,10 @@ class _Keys:
 
 def _hot_buckets(counts: DataFrame, hot_rows: int) -> np.ndarray:
     """Sorted buckets of more than hot_rows rows; of more than a multiple of that, if they were more than MOST_HOT."""
-    over = counts.where(F.col("n") > hot_rows)
-    while over.count() > MOST_HOT:
-        hot_rows *= 2
-        over = over.where(F.col("n") > hot_rows)
-    return np.sort(np.array([r[0] for r in over.select("bucket").collect()], np.uint64))
+    got = counts.where(F.col("n") > hot_rows).select("bucket").limit(MOST_HOT + 1).collect()
+    if len(got) > MOST_HOT:
+        return _hot_buckets(counts, 2 * hot_rows)
+    return np.sort(np.array([r[0] for r in got], np.uint64))
 
 
 def near_record_links(
