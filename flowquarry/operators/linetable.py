@@ -32,7 +32,7 @@ _GOOD_QUOTES = r'^(?:[^",]*|"(?:[^"]|"")*")(?:,(?:[^",]*|"(?:[^"]|"")*"))*$'
 LINE_SCHEMA = "file_no long, chunk int, line_no int, reason string, no_number array<long>, no_time array<long>, label_ok boolean, cells array<string>"
 STAT_SCHEMA = (
     "file_no long, chunk int, chunks int, position int, name string, lines long, missing long, infinite long, whole long, decimals long, timestamps long, texts long, "
-    "pos_inf long, least double, most double, total double, squares double, zeros long, negatives long, median double, ln_total double, ln_squares double, fitting array<long>, values array<double>, distinct_hashes array<long>"
+    "pos_inf long, least double, most double, total double, m2 double, zeros long, negatives long, median double, ln_total double, ln_squares double, fitting array<long>, values array<double>, distinct_hashes array<long>"
 )
 OUT_SCHEMA = f"line struct<{LINE_SCHEMA.replace(' array', ': array').replace(' long', ': long').replace(' int', ': int').replace(' string', ': string').replace(' boolean', ': boolean')}>, stat struct<{STAT_SCHEMA.replace(' array', ': array').replace(' long', ': long').replace(' int', ': int').replace(' string', ': string').replace(' double', ': double')}>"
 KMV = 256
@@ -161,7 +161,7 @@ def parse_lines(
     """
     known = None if labels is None else pa.array(sorted(set(labels)))
     line_type = pa.struct([("file_no", pa.int64()), ("chunk", pa.int32()), ("line_no", pa.int32()), ("reason", pa.string()), ("no_number", pa.list_(pa.int64())), ("no_time", pa.list_(pa.int64())), ("label_ok", pa.bool_()), ("cells", pa.list_(pa.string()))])
-    ints, doubles = ["lines", "missing", "infinite", "whole", "decimals", "timestamps", "texts", "pos_inf", "zeros", "negatives"], ["least", "most", "total", "squares", "median", "ln_total", "ln_squares"]
+    ints, doubles = ["lines", "missing", "infinite", "whole", "decimals", "timestamps", "texts", "pos_inf", "zeros", "negatives"], ["least", "most", "total", "m2", "median", "ln_total", "ln_squares"]
     order = [x.strip().split(" ")[0] for x in STAT_SCHEMA.split(",")]
     kinds = {"file_no": pa.int64(), "chunk": pa.int32(), "chunks": pa.int32(), "position": pa.int32(), "name": pa.string(), "fitting": pa.list_(pa.int64()), "values": pa.list_(pa.float64()), "distinct_hashes": pa.list_(pa.int64())}
     kinds |= dict.fromkeys(ints, pa.int64()) | dict.fromkeys(doubles, pa.float64())
@@ -250,20 +250,18 @@ def parse_lines(
                     k, v = kind[who], value[who]
                     q = int(gs[who[0]])
                     seen.add(q)
-                    rows += stat_rows(q, k, v, [c for c in columns], who)
+                    rows += stat_rows(q, k, v, columns, who, bool(n_chunks[q] > 1))
             for q in range(len(names)):
                 if q not in seen:
-                    rows += stat_rows(q, np.zeros((0, int(widths[q])), np.int8), np.zeros((0, int(widths[q]))), None, None)
+                    rows += stat_rows(q, np.zeros((0, int(widths[q])), np.int8), np.zeros((0, int(widths[q]))), None, None, False)
             for r in rows:
                 q = r["file_no"]
                 r.update(file_no=int(file_no[starts[q]]), chunk=int(chunk_no[starts[q]]), chunks=int(n_chunks[q]), name=names[q][r["position"]])
-                if r["chunks"] == 1:
-                    r["values"] = None
             if rows:
                 stat = pa.array(rows, stat_type)
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), line_type), stat], names=["line", "stat"])
 
-    def stat_rows(q: int, k: np.ndarray, v: np.ndarray, columns: list | None, who: np.ndarray | None) -> list[dict]:
+    def stat_rows(q: int, k: np.ndarray, v: np.ndarray, columns: list | None, who: np.ndarray | None, values: bool) -> list[dict]:
         n, w = k.shape
         counts = [(k == c).sum(0) for c in range(6)]
         finite = np.isfinite(v)
@@ -281,8 +279,8 @@ def parse_lines(
         zero = np.where(finite, vf, 0)
         with np.errstate(divide="ignore", over="ignore"):
             ln = np.where(finite & (zero != 0), np.log(np.abs(np.where(zero == 0, 1, zero))), 0)
-            squares = (zero**2).sum(0)
-        total, lt, ls = zero.sum(0), ln.sum(0), (ln**2).sum(0)
+            total, lt, ls = zero.sum(0), ln.sum(0), (ln**2).sum(0)
+            m2 = (np.where(finite, vf - total / np.maximum(nf, 1), 0) ** 2).sum(0)
         zeros, negatives, pos_inf = (finite & (vf == 0)).sum(0), (finite & (vf < 0)).sum(0), (v == np.inf).sum(0)
         out = []
         for j in range(w):
@@ -297,8 +295,8 @@ def parse_lines(
                 {
                     "file_no": q, "position": j, "lines": n, "missing": int(counts[MISSING][j]), "infinite": int(counts[INFINITE][j]), "whole": int(counts[WHOLE][j]), "decimals": int(counts[DECIMAL][j]),
                     "timestamps": int(counts[TIMESTAMP][j]), "texts": int(counts[TEXT][j]), "pos_inf": int(pos_inf[j]), "least": None if none[j] else float(least[j]), "most": None if none[j] else float(most[j]), "total": float(total[j]),
-                    "squares": float(squares[j]), "zeros": int(zeros[j]), "negatives": int(negatives[j]), "median": None if none[j] else float(median[j]), "ln_total": float(lt[j]), "ln_squares": float(ls[j]),
-                    "fitting": fitting, "values": vs[: nf[j], j].tolist() if nf[j] else [], "distinct_hashes": hashed,
+                    "m2": float(m2[j]), "zeros": int(zeros[j]), "negatives": int(negatives[j]), "median": None if none[j] else float(median[j]), "ln_total": float(lt[j]), "ln_squares": float(ls[j]),
+                    "fitting": fitting, "values": vs[: nf[j], j].tolist() if values else None, "distinct_hashes": hashed,
                 }
             )
         return out

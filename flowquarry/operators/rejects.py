@@ -2,29 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowquarry.operators.schemadrift import Files
+from flowquarry.operators.schemadrift import _MISSING, Files, converted
 
 
 def judged_lines(files: Files) -> DataFrame:
-    """(file_no, line_no, reason): every data line; reason is null for a line that loads.
+    """(file_no, line_no, reason, failing, cells): every data line; reason is null for a line that loads.
 
     The first reason that applies: header, quoting, columns, value; blank lines have the reason blank. A line has the
-    reason value if a cell does not fit its column's kind in that file or if its label is unknown.
+    reason value if a cell does not fit its column's kind in that file or if its label is unknown; failing names the
+    columns of these cells (the label column if the label is unknown).
     """
-    width = F.col("position") / F.lit(62)
-    bit = F.shiftleft(F.lit(1).cast("long"), 0)
-    marks = files.columns.select("file_no", F.floor(width).cast("int").alias("word"), (F.col("position") % 62).cast("int").alias("at"), F.col("kind").isin("whole", "decimal").alias("num"), (F.col("kind") == "timestamp").alias("time"))
-    one = F.expr("shiftleft(1L, at)")
-    words = marks.groupBy("file_no", "word").agg(F.coalesce(F.bit_or(F.when(F.col("num"), one).otherwise(bit * 0)), F.lit(0)).alias("n"), F.coalesce(F.bit_or(F.when(F.col("time"), one).otherwise(bit * 0)), F.lit(0)).alias("t"))
-    masks = words.groupBy("file_no").agg(F.array_sort(F.collect_list(F.struct("word", "n", "t"))).alias("w"))
-    masks = masks.select("file_no", F.transform("w", lambda x: x["n"]).alias("number_words"), F.transform("w", lambda x: x["t"]).alias("time_words"))
+    marks = files.columns.groupBy("file_no").agg(F.array_sort(F.collect_list(F.struct("position", "name", "kind"))).alias("c"))  # the columns of a file
+    bits = lambda *kinds: F.expr(
+        f"transform(sequence(0, int((size(c) - 1) / 62)), w -> aggregate(slice(c, 62 * w + 1, 62), 0L, (a, x) -> a | if(x.kind in ({', '.join(map(repr, kinds))}), shiftleft(1L, x.position % 62), 0L)))"
+    )
+    label = F.expr("filter(c, x -> lower(x.name) = 'label')[0].name")
+    masks = marks.select("file_no", "c", bits("whole", "decimal").alias("number_words"), bits("timestamp").alias("time_words"), label.alias("label"))
     both = files.lines.join(masks.hint("merge"), "file_no", "left")
-    hit = lambda a, b: F.exists(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y) != 0), lambda x: x)
-    value = F.coalesce(~F.col("label_ok") | hit("no_number", "number_words") | hit("no_time", "time_words"), F.lit(False))
-    return both.select("file_no", "line_no", F.coalesce("reason", F.when(value, "value")).alias("reason"), "cells")
+    hit = lambda a, b: F.zip_with(a, b, lambda x, y: x.bitwiseAND(y))
+    wrong = F.zip_with(hit("no_number", "number_words"), hit("no_time", "time_words"), lambda x, y: F.coalesce(x, F.lit(0)).bitwiseOR(F.coalesce(y, F.lit(0))))
+    both = both.withColumn("wrong", wrong)
+    value = F.coalesce(~F.col("label_ok") | F.exists("wrong", lambda x: x != 0), F.lit(False))
+    cells = F.expr("transform(filter(c, x -> (shiftright(wrong[int(x.position / 62)], x.position % 62) & 1L) = 1L), x -> x.name)")
+    failing = F.when(F.col("reason").isNull() & value, F.array_distinct(F.concat(F.coalesce(cells, F.array().cast("array<string>")), F.when(~F.col("label_ok"), F.array("label")).otherwise(F.array().cast("array<string>")))))
+    return both.select("file_no", "line_no", F.coalesce("reason", F.when(value, "value")).alias("reason"), failing.alias("failing"), "cells")
+
+
+def loaded_rows(files: Files) -> DataFrame:
+    """(file_no, line_no, numbers, timestamps, texts): the lines that load, their cells cast to their column's kind, by column name.
+
+    Whole and decimal columns are in numbers (infinite cells as infinities); missing cells are left out.
+    """
+    heads = files.columns.groupBy("file_no").agg(F.array_sort(F.collect_list(F.struct("position", "name", F.coalesce("kind", F.lit("text")).alias("kind")))).alias("c"))
+    rows = judged_lines(files).where("reason is null").join(heads.hint("merge"), "file_no")
+    cells = F.filter(F.zip_with("c", "cells", lambda c, x: F.struct(c["name"].alias("name"), c["kind"].alias("kind"), x.alias("cell"))), lambda x: ~x["cell"].rlike(_MISSING))
+    rows = rows.select("file_no", "line_no", cells.alias("x"))
+
+    def of(kinds: list[str], kind: str) -> Column:
+        return F.map_from_entries(F.transform(F.filter("x", lambda x: x["kind"].isin(kinds)), lambda x: F.struct(x["name"], converted(x["cell"], kind))))
+
+    return rows.select("file_no", "line_no", of(["whole", "decimal"], "decimal").alias("numbers"), of(["timestamp"], "timestamp").alias("timestamps"), of(["text"], "text").alias("texts"))
 
 
 def load_balance(files: Files, reports: DataFrame) -> DataFrame:

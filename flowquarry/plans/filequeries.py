@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowquarry.operators import quality, rejects, schemadrift
 from flowquarry.plans.registry import Query, collector, table
+from flowquarry.session import shared_dir
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -44,7 +47,13 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def p5_loaded_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return rejects.judged_lines(_files(spark, sf, cells=True)).where("reason is null").select("file_no", "line_no", "cells")
+    return rejects.loaded_rows(_files(spark, sf, cells=True))
+
+
+@query()
+def p5_failing_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The columns whose cells keep a line from loading."""
+    return rejects.judged_lines(_files(spark, sf)).where("reason = 'value'").select("file_no", "line_no", F.explode("failing").alias("column_name"))
 
 
 @query()
@@ -57,15 +66,36 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_issues(_files(spark, sf, lines=False))
 
 
+@query()
+def p6_by_loads(spark: SparkSession, sf: str) -> DataFrame:
+    """The issues from states stored load by load: files loaded in the first half of the time, then the rest added."""
+    reports, raw, fields = table(spark, sf, "filereport"), table(spark, sf, "raw_lines"), table(spark, sf, "column_dict")
+    labels, path = _labels(spark, sf), f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    loaded = reports.where("file_no is not null").groupBy("file_no").agg(F.min("loaded_at").alias("t"))
+    middle = loaded.agg(F.timestamp_micros(F.floor((F.unix_micros(F.min("t")) + F.unix_micros(F.max("t"))) / 2)).alias("m"))
+    first = loaded.crossJoin(F.broadcast(middle)).where("t <= m").select("file_no")  # one row
+    schemadrift.parse_states(raw.join(first.hint("merge"), "file_no", "left_semi"), fields, labels, lines=False, path=path)
+    states = schemadrift.parse_states(raw.join(first.hint("merge"), "file_no", "left_anti"), fields, labels, lines=False, path=path)
+    return quality.quality_issues(schemadrift.Files(None, reports, fields, states=states))
+
+
 @query()
 def p6_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return quality.column_profiles(_files(spark, sf, lines=False, hashes=True))
 
 
-@query()
-def p6_recorded_differences(spark: SparkSession, sf: str) -> DataFrame:
-    """Recorded profiles that disagree with the lines: none where both are sound."""
-    return quality.recorded_differences(quality.column_profiles(_files(spark, sf, lines=False)), table(spark, sf, "column_stats"))
+@query(
+    """
+with r as (select distinct on (file_no, column_name) * from column_stats)
+select unnest(['finite_count', 'nan', 'pos_inf', 'neg_inf', 'zeros', 'negatives', 'unparseable', 'min', 'max', 'mean', 'std', 'constant']) as measure,
+  count(*) as compared, count(*) as agreeing
+from r group by 1
+"""
+)
+def p6_recorded_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """Per measure: recorded values, and those that agree with the lines (all, where the records are sound)."""
+    both = quality.recorded_comparison(quality.column_profiles(_files(spark, sf, lines=False)), table(spark, sf, "column_stats"))
+    return both.groupBy("measure").agg(F.count("*").alias("compared"), F.count_if("agrees").alias("agreeing"))
 
 
 @query()
