@@ -71,17 +71,28 @@ def label_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return profile.label_distribution(_flows(spark, sf), F.col("label"), F.col("source_file"))
 
 
-@query("""select 'Destination Port' as column_a, 'Destination Port copy' as column_b where (select count(*) from flows) > 0""")
+_COPIES = [*FEATURES, "Destination Port copy", "Fwd Header Length.1"]
+_WITH_COPIES = """(select *, "Destination Port" as "Destination Port copy", case when isnan("Fwd Header Length") then null else "Fwd Header Length" end as "Fwd Header Length.1" from flows)"""
+_EQUAL = lambda x, c: f"case when {x}.\"{c}\" is null or isnan({x}.\"{c}\") then null else {x}.\"{c}\"::double end"
+
+
+@query("\nunion all ".join(f"select '{a}' as column_a, '{b}' as column_b from {_WITH_COPIES} t having count(*) > 0 and bool_and({_EQUAL('t', a)} is not distinct from {_EQUAL('t', b)})" for i, a in enumerate(_COPIES) for b in _COPIES[i + 1 :]))
 def identical_columns(spark: SparkSession, sf: str) -> DataFrame:
-    f = _flows(spark, sf).withColumn("Destination Port copy", q("Destination Port"))
-    return profile.identical_columns(f, [*FEATURES, "Destination Port copy"])
+    """All pairs of the features and of two columns that repeat one of them (missing cells in either spelling are equal)."""
+    again = F.when(~F.isnan(q("Fwd Header Length")), q("Fwd Header Length"))
+    f = _flows(spark, sf).withColumn("Destination Port copy", q("Destination Port")).withColumn("Fwd Header Length.1", again)
+    return profile.identical_columns(f, _COPIES)
 
 
-@query("""select column_name, case when regexp_matches(lower(column_name), '^flow[\\s_]*id$') then 'flow id' when regexp_matches(lower(column_name), '(^|[\\s_])port$') then 'port'
-  when regexp_matches(lower(column_name), '^time[\\s_]*stamp$') then 'timestamp' else 'protocol' end as kind
-from column_dict where regexp_matches(lower(column_name), '^flow[\\s_]*id$|(^|[\\s_])port$|^time[\\s_]*stamp$|^protocol$')""")
+@query("""with n as (select column_name, replace(lower(column_name), '_', ' ') as t from column_dict union all select trim(c), replace(lower(trim(c)), '_', ' ') from (select distinct unnest(columns) as c from filereport))
+select distinct column_name, case when t in ('flow id', 'flowid') then 'flow id' when t in ('time stamp', 'timestamp') then 'timestamp' when t = 'protocol' then 'protocol' when t like '%ip' then 'ip address' else 'port' end as kind
+from n where t in ('flow id', 'flowid', 'time stamp', 'timestamp', 'protocol') or (case when contains(t, ' ') then t else ' ' || t end) similar to '(.* )?(src|source|dst|destination) ?(ip|port)'
+  or t similar to '(src|source|dst|destination) ?(ip|port)'""")
 def identifier_columns(spark: SparkSession, sf: str) -> DataFrame:
-    names = [r[0] for r in table(spark, sf, "column_dict").select("column_name").collect()]  # a header
+    """Of the dictionary's names and all names that files have."""
+    listed = table(spark, sf, "column_dict").select("column_name")
+    found = table(spark, sf, "filereport").select(F.explode("columns").alias("column_name")).select(F.trim("column_name"))
+    names = [r[0] for r in listed.union(found).distinct().collect()]  # different names
     return spark.createDataFrame(list(profile.identifier_columns(names).items()), "column_name string, kind string")
 
 
@@ -216,51 +227,66 @@ def feature_medians(spark: SparkSession, sf: str) -> DataFrame:
     return features.medians(_flows(spark, sf).where("split = 'train'"), FEATURES).withColumn("median", F.round("median", 4))
 
 
-_TWO = ["Flow Duration", "Flow Bytes/s", "Init_Win_bytes_forward"]
-_FILLED = ", ".join(f"case when x{i} is null or isnan(x{i}) or isinf(x{i}) then (select quantile_cont(x{i}, 0.5) from d where split = 'train' and isfinite(x{i})) else x{i} end as x{i}" for i in range(3))
-_LOGGED = ", ".join(f"sign(x{i}) * ln(1 + abs(x{i})) as x{i}" for i in range(3))
-_SCALED = ", ".join(f"round((x{i} - (select avg(x{i}) from l where split = 'train')) / (select stddev_pop(x{i}) from l where split = 'train'), 5) as {n}" for i, n in enumerate(("duration", "bytes_per_s", "init_win")))
+_KEPT = [c for c in FEATURES if c != "Destination Port"]
+_N = range(len(_KEPT))
 
 
-@query(f"""with d as (select flow_id, split, {', '.join(f'{_X.format(c)} as x{i}' for i, c in enumerate(_TWO))} from flows),
-  f as (select flow_id, split, {_FILLED} from d), l as (select flow_id, split, {_LOGGED} from f)
-select flow_id, {_SCALED} from l where split = 'test'""")
+@query(f"""with d as (select flow_id, split, {', '.join(f'case when isfinite({_X.format(c)}) then {_X.format(c)} end as x{i}' for i, c in enumerate(_KEPT))} from flows),
+  q as (select {', '.join(f'quantile_cont(x{i}, 0.5) as m{i}' for i in _N)} from d where split = 'train'),
+  f as (select flow_id, split, {', '.join(f'coalesce(x{i}, m{i}) as x{i}' for i in _N)} from d, q),
+  l as materialized (select flow_id, split, {', '.join(f'sign(x{i}) * ln(1 + abs(x{i})) as x{i}' for i in _N)} from f),
+  s as materialized (select {', '.join(f'avg(x{i}) as a{i}, stddev_pop(x{i}) as s{i}' for i in _N)} from l where split = 'train')
+select flow_id, {', '.join(f'round((x{i} - a{i}) / case when s{i} = 0 then 1 else s{i} end, 5) + 0.0::double as "{c}"' for i, c in enumerate(_KEPT))} from l, s where split = 'test'""")
 def feature_scale(spark: SparkSession, sf: str) -> DataFrame:
+    """All features but the excluded one, as a model that scales gets them."""
     f = _flows(spark, sf)
-    p = features.fit_preprocessor(f.where("split = 'train'"), _TWO, scale=True)
+    p = features.fit_preprocessor(f.where("split = 'train'"), FEATURES, scale=True)
     out = p.transform(f.where("split = 'test'"), ["flow_id"])
-    return out.select("flow_id", *[F.round(q(c), 5).alias(n) for c, n in zip(_TWO, ("duration", "bytes_per_s", "init_win"))])
+    return out.select("flow_id", *[(F.round(q(c), 5) + F.lit(0.0)).alias(c) for c in p.kept])
+
+
+_DROPS = [*FEATURES, "Flow Duration copy", "Always 3"]
+_WITH_DROPS = """(select *, "Flow Duration" as "Flow Duration copy", 3.0::float as "Always 3" from flows where split = 'train')"""
+_FINITE = lambda c: f"case when isfinite(\"{c}\") then \"{c}\"::double end"
 
 
-@query("""select 'Flow Duration copy' as column_name, 'copy of Flow Duration' as why union all select 'Always 3', 'constant'""")
+@query(
+    "with t as "
+    + _WITH_DROPS
+    + ", k as ("
+    + "\nunion all ".join(f"select {i} as i, '{c}' as column_name, count({_FINITE(c)}) = 0 or (count({_FINITE(c)}) = count(*) and min({_FINITE(c)}) = max({_FINITE(c)})) as constant from t" for i, c in enumerate(_DROPS))
+    + "), e as ("
+    + "\nunion all ".join(f"select {i} as a, {j} as b from t having bool_and({_FINITE(_DROPS[i])} is not distinct from {_FINITE(_DROPS[j])})" for i in range(len(_DROPS)) for j in range(i + 1, len(_DROPS)))
+    + """)
+select column_name, 'constant' as why from k where constant
+union all select y.column_name, 'copy of ' || arg_min(x.column_name, x.i) from e join k x on x.i = e.a join k y on y.i = e.b where not x.constant and not y.constant group by y.column_name"""
+)
 def feature_drops(spark: SparkSession, sf: str) -> DataFrame:
+    """Constant and repeated columns among all features and two columns made for it."""
     f = _flows(spark, sf).where("split = 'train'").withColumn("Flow Duration copy", q("Flow Duration")).withColumn("Always 3", F.lit(3.0))
-    constant, copies = features.uninformative(f, ["Flow Duration", "Total Fwd Packets", "Idle Mean", "Flow Duration copy", "Always 3"])
+    constant, copies = features.uninformative(f, _DROPS)
     return spark.createDataFrame([(c, "constant") for c in constant] + [(c, f"copy of {o}") for c, o in copies.items()], "column_name string, why string")
 
 
 # --- correlations, histograms, box plots
 
-_SIX = ["Flow Duration", "Flow IAT Mean", "Flow IAT Max", "Flow Bytes/s", "Packet Length Mean", "Packet Length Std"]
-_PAIRS = "\n  union all ".join(f"select '{a}' as column_a, '{b}' as column_b, a, b from (select {_X.format(a)} as a, {_X.format(b)} as b from flows)" for i, a in enumerate(_SIX) for b in _SIX[i + 1 :])
-
-
-@query(f"""select column_a, column_b, case when count(*) >= 30 then round(corr(a, b), 6) end as r, count(*) as n from ({_PAIRS})
-where isfinite(a) and isfinite(b) group by 1, 2 having abs(corr(a, b)) >= 0.5""")
-def correlated_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return correlation.correlations(_flows(spark, sf), _SIX).where(F.abs("r") >= 0.5).withColumn("r", F.round("r", 6))
-
-
 _ALL_PAIRS = "\n  union all ".join(f"select '{a}' as column_a, '{b}' as column_b, {_X.format(a)} as a, {_X.format(b)} as b from flows" for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :])
 
 
 @query(f"""select * from (select column_a, column_b, round(corr(a, b), 6) as r, count(*) as n from ({_ALL_PAIRS}) where isfinite(a) and isfinite(b) group by 1, 2 having count(*) >= 30)
 where not isnan(r) and abs(r) >= 0.5""")
 def correlated_pairs_all(spark: SparkSession, sf: str) -> DataFrame:
-    """All 231 pairs of the features; correlated_pairs has the 15 of six columns that its SQL fixes."""
+    """Of all 231 pairs of the features."""
     return correlation.correlations(_flows(spark, sf), FEATURES).withColumn("r", F.round("r", 6)).where(F.abs("r") >= 0.5)
 
 
+@query(f"""select * from (select column_a, column_b, round(corr(a, b), 6) as r, count(*) as n from ({_ALL_PAIRS}) where isfinite(a) and isfinite(b) group by 1, 2 having count(*) >= 30)
+where not isnan(r) and abs(r) >= 0.95 order by abs(r) desc, column_a, column_b limit 25""")
+def correlated_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The 25 strongest pairs of all features from 0.95 on, the strongest first."""
+    return correlated_pairs_all(spark, sf).where(F.abs("r") >= 0.95).orderBy(F.abs("r").desc(), "column_a", "column_b").limit(25)
+
+
 @query(f"""with d as (select is_attack as class, sign(x) * log10(1 + abs(x)) as x from (select is_attack, {_X.format('Flow Duration')} as x from flows) where isfinite(x)),
   e as (select min(x) as lo, max(x) as hi from d), b as (select class, least(39, floor((x - lo) / ((hi - lo) / 40)))::bigint as bin, (hi - lo) / 40 as width from d, e)
 select class, bin, count(*) as n, round(count(*) / (sum(count(*)) over (partition by class) * any_value(width)), 6) as density from b group by class, bin""")
@@ -416,13 +442,14 @@ def source_counters(spark: SparkSession, sf: str) -> DataFrame:
     return serving.source_counters(b, F.col("source"), F.col("received_at"), {"alerts": F.coalesce(F.col("decision") != "benign", F.lit(False)).cast("int")}).withColumn("last_seen", F.unix_micros("last_seen"))
 
 
-@query("""with m as (select max(received_at) as t from batch), p as (select source, max(received_at) as last_seen, count(*) as n from batch where source is not null group by 1)
-select source, epoch_us(last_seen) as last_seen, n from p, m where source like 'replay:%' and last_seen > t - interval 15 seconds""")
+@query("""with m as (select max(received_at) as t from batch), p as (select 'replay:' || source as source, max(received_at) as last_seen, count(*) as n from batch where source is not null group by 1)
+select source, epoch_us(last_seen) as last_seen, n from p, m where source like 'replay:%' and last_seen > t - interval 6 hours""")
 def recent_replays(spark: SparkSession, sf: str) -> DataFrame:
+    """The sources as replays, seen within six hours of the newest row (their rows are minutes apart, not seconds)."""
     b = _batch(spark, sf)
-    c = b.where("source is not null").groupBy("source").agg(F.max("received_at").alias("last_seen"), F.count("*").alias("n"))
+    c = b.where("source is not null").groupBy(F.concat(F.lit("replay:"), "source").alias("source")).agg(F.max("received_at").alias("last_seen"), F.count("*").alias("n"))
     now = b.agg(F.max("received_at").alias("t"))
-    return serving.recent_sources(c.crossJoin(F.broadcast(now)), F.col("t")).drop("t").withColumn("last_seen", F.unix_micros("last_seen"))  # one row
+    return serving.recent_sources(c.crossJoin(F.broadcast(now)), F.col("t"), seconds=6 * 3600).drop("t").withColumn("last_seen", F.unix_micros("last_seen"))  # one row
 
 
 @query("""with b as (select batch_id, count(*) as n from batch group by 1)

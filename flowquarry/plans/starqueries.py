@@ -40,9 +40,10 @@ def join_semi(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").join(o, "c_custkey", "left_semi").select("c_custkey", "c_name")
 
 
-@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 350000)")
 def join_anti(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without a large order."""
+    o = table(spark, sf, "orders").where("o_totalprice > 350000").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
