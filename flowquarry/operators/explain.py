@@ -111,13 +111,14 @@ def trees_of(model: RandomForestClassificationModel) -> list[Tree]:
 def explained(df: DataFrame, vector: str, keep: Sequence[str], names: Sequence[str], trees: Sequence[Tree]) -> DataFrame:
     """(keep..., p, base, contributions array<struct<feature, value, shap>>) for each row."""
     spark: SparkSession = df.sparkSession
-    shared = spark.sparkContext.broadcast((list(trees), list(names)))  # the model, whose size its depth bounds
+    parts = [(t.feature, t.threshold, t.left, t.right, t.value, t.cover) for t in trees]  # plain arrays, which need no package to be read
+    shared = spark.sparkContext.broadcast((parts, list(names)))  # the model, whose size its depth bounds
     types = dict(df.dtypes)
     rows = df.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)], F.col(vector).alias("x"))
     schema = ", ".join([*(f"k{i} {types[k]}" for i, k in enumerate(keep)), "p double, base double, contributions array<struct<feature: string, value: double, shap: double>>"])
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, features = shared.value
+        model, features = [Tree(*p) for p in shared.value[0]], shared.value[1]
         for frame in frames:
             if not len(frame):
                 continue

@@ -41,13 +41,16 @@ class Preprocessor:
         dev = self.deviations[name]
         return (signed_log1p(x) - F.lit(self.means[name])) / F.lit(dev if dev else 1.0)
 
+    def check(self, df: DataFrame) -> None:
+        if missing := [c for c in self.expected if c not in df.columns]:
+            raise SchemaError(f"missing columns: {missing}")
+
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """keep plus the kept columns, in the order learned; more columns are ignored, missing ones are an error.
 
         Text that is no number raises when it is read (ANSI cast).
         """
-        if missing := [c for c in self.expected if c not in df.columns]:
-            raise SchemaError(f"missing columns: {missing}")
+        self.check(df)
         return df.select(*[q(c) for c in keep], *[self.expression(c).alias(c) for c in self.kept])
 
 

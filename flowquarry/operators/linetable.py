@@ -9,6 +9,7 @@ the file's header line.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -38,11 +39,11 @@ OUT_SCHEMA = f"line struct<{LINE_SCHEMA.replace(' array', ': array').replace(' l
 KMV = 256
 
 
-def header_names(line: str) -> list[str]:
-    """Trimmed names; a repeated name gets .1, .2 and so on."""
+def unique_names(cells: Iterable[str]) -> list[str]:
+    """Trimmed names; a repeated name gets .1, .2 and so on, or the next number that is free."""
     out: list[str] = []
     seen: set[str] = set()
-    for cell in line.lstrip("﻿").rstrip("\r\n").split(","):
+    for cell in cells:
         base = name = cell.strip()
         n = 0
         while name in seen:
@@ -53,6 +54,12 @@ def header_names(line: str) -> list[str]:
     return out
 
 
+def header_names(line: str) -> list[str]:
+    """Names of a header line, parted by commas outside of quotes."""
+    text = line.lstrip("\ufeff").rstrip("\r\n")
+    return unique_names(next(csv.reader([text]), [""]) if '"' in text else text.split(","))
+
+
 def normalized_labels(texts: pa.Array) -> pa.Array:
     """Trimmed, dash-like characters with the space around them as ' - ', white space collapsed, lower case."""
     t = pc.replace_substring_regex(texts, "[\\s ]*[–—�\u0096][\\s ]*", " - ")

@@ -38,8 +38,8 @@ class Scorer:
         self.prep, self.model = prep, model
 
     def vectors(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-        flat = self.prep.transform(df, keep)
-        safe = flat.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{c}`").alias(f"__f{i}") for i, c in enumerate(self.prep.kept)])
+        self.prep.check(df)
+        safe = df.select(*[F.col(f"`{c}`") for c in keep], *[self.prep.expression(c).alias(f"__f{i}") for i, c in enumerate(self.prep.kept)])  # keep may name features
         return VectorAssembler(inputCols=[f"__f{i}" for i in range(len(self.prep.kept))], outputCol="__x").transform(safe)
 
     def score(self, df: DataFrame, keep: Sequence[str], name: str = "p") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowquarry.functions.scalars import canonical_label, family_of, normalized_label, q
-from flowquarry.operators import correlation, duplicates, features, metrics, orderstats, profile, sampling, serving
+from flowquarry.operators import correlation, duplicates, features, metrics, orderstats, profile, requests, sampling, serving
 from flowquarry.plans.registry import Query, collector, table
 
 QUERIES: dict[str, Query] = {}
@@ -434,6 +434,38 @@ def store_state(spark: SparkSession, sf: str) -> DataFrame:
     return serving.store_state(_batch(spark, sf), F.col("decision"), 1000)
 
 
+_GIVEN = ["Destination Port", "Flow Duration", "Flow Bytes/s", "Flow IAT Mean"]
+
+
+def _requests(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of batch as requests: a map of the measures, the source, and who decided on them."""
+    values = F.map_from_arrays(F.array(*[F.lit(f" {c} ") for c in _GIVEN], F.lit("Label")), F.array(*[q(c).cast("double") for c in _GIVEN], F.lit(0.0)))
+    return _batch(spark, sf).select("batch_id", "flow_no", F.coalesce("source", F.lit("api")).alias("source"), values.alias("features"))
+
+
+@query(f"""select batch_id, flow_no, missing, count(*) as n from (select batch_id, flow_no, concat_ws(', ', {', '.join(f"case when {_X.format(c)} is null or isinf({_X.format(c)}) then '{c}' end" for c in _GIVEN)}) as missing from batch)
+where missing <> '' group by all""")
+def request_missing_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests with features that are null or infinite (NaN is a number that is given)."""
+    r = _requests(spark, sf).select("batch_id", "flow_no", F.array_join(requests.missing_values(F.col("features"), _GIVEN), ", ").alias("missing"))
+    return r.where("missing <> ''").groupBy("batch_id", "flow_no", "missing").agg(F.count("*").alias("n"))
+
+
+_ABSENT = ", ".join(f"case when {_X.format(c)} is null then '{c}' end" for c in sorted(_GIVEN))
+
+
+@query(f"""with p as (select coalesce(source, 'api') as source, concat_ws(', ', {_ABSENT}) as absent, {' and '.join(f'{_X.format(c)} is null' for c in _GIVEN)} as nothing, "Destination Port" > 50000 as odd from batch)
+select problems, count(*) as n from (select concat_ws('; ', case when nothing then 'no features' end, case when length(source) > 64 then 'source is longer than 64' end,
+  case when odd then 'unknown: High Port' end, case when absent <> '' then 'missing: ' || absent end) as problems from p) group by 1""")
+def request_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """Why requests would be turned down, if nulls were left out and high ports sent a name of their own."""
+    r = _requests(spark, sf)
+    given = F.map_filter("features", lambda k, v: v.isNotNull() & (F.trim(k) != "Label"))
+    port = F.col("features")[" Destination Port "]
+    given = F.when(port > 50000, F.map_concat(given, F.create_map(F.lit("High Port"), port))).otherwise(given)
+    return r.select(F.array_join(requests.problems(given, F.col("source"), _GIVEN), "; ").alias("problems")).groupBy("problems").agg(F.count("*").alias("n"))
+
+
 @query("""with p as (select coalesce(source, 'unknown') as source, count(*) as n, min(received_at) as f, max(received_at) as l, count(*) filter (where decision <> 'benign') as alerts from batch group by 1),
   r as (select *, row_number() over (order by f, source) as rn from p)
 select case when rn <= 50 then source else '(other sources)' end as source, sum(n)::bigint as n, epoch_us(max(l)) as last_seen, sum(alerts)::bigint as alerts from r group by 1""")

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import os
 import uuid
-import zipfile
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquarry.functions.scalars import q
-from flowquarry.operators import explain, iforest, metrics, models
+from flowquarry.functions.scalars import is_finite, q
+from flowquarry.operators import detector, explain, iforest, metrics, models
 from flowquarry.operators.features import fit_preprocessor
 from flowquarry.operators.sampling import order_key, stratified_sample
 from flowquarry.plans.flowqueries import FEATURES
 from flowquarry.plans.registry import Query, collector, table
-from flowquarry.session import shared_dir
+from flowquarry.session import shared_dir, stored
 from flowquarry.sources import files
 
 QUERIES: dict[str, Query] = {}
@@ -41,19 +39,23 @@ def random_forest_scores(spark: SparkSession, sf: str) -> DataFrame:
     return s.score(f.where("split = 'test'"), KEEP)
 
 
+def _compared(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    f = _flows(spark, sf)
+    part = lambda s: f.where(F.col("split") == s)
+    table_, by_label, best, _ = detector.compare(part("train"), part("val"), part("test"), FEATURES, F.col("is_attack"), "label")
+    return table_.withColumn("best", F.col("model") == best), by_label
+
+
 @query()
 def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    """Metrics of each classifier on val and test."""
-    f = _flows(spark, sf)
-    out = None
-    for spec in models.SPECS:
-        s = models.fit(f.where("split = 'train'"), FEATURES, F.col("is_attack"), spec)
-        for split in ("val", "test"):
-            p = s.score(f.where(F.col("split") == split), KEEP)
-            row = metrics.rates(metrics.confusion(p, F.col("is_attack"), F.col("p") >= 0.5)).crossJoin(metrics.ranking_metrics(p, F.col("is_attack"), F.col("p")))  # two single rows
-            row = row.withColumn("model", F.lit(spec)).withColumn("split", F.lit(split))
-            out = row if out is None else out.unionByName(row)
-    return out
+    """Metrics of each classifier on val and test, with the time of scoring and the choice by F1 on val."""
+    return _compared(spark, sf)[0]
+
+
+@query()
+def model_label_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Per label of the test flows the share that each classifier flags, side by side."""
+    return _compared(spark, sf)[1]
 
 
 @query()
@@ -63,6 +65,20 @@ def leave_one_family_out(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.held_out_rates(s, "held", F.col("family"), F.col("is_attack"), {"forest": F.col("p") >= 0.5})
 
 
+@query()
+def leave_one_family_out_with_anomalies(spark: SparkSession, sf: str) -> DataFrame:
+    """The same beside the three-way decision: what the classifier misses of the family that it hasn't seen may be an anomaly."""
+    f = _flows(spark, sf).where("family is not null")
+    prep = fit_preprocessor(f.where("split = 'train'"), FEATURES)
+    forest = iforest.fit_isolation_forest(prep.transform(f.where("split = 'train' and is_attack = 0"), ["flow_id"]), prep.kept, "flow_id")
+    scored = stored(forest.transform(prep.transform(f.where("split <> 'train'"), ["flow_id", "split", "is_attack"])).select("flow_id", "split", "is_attack", "anomaly_score"))
+    limit = metrics.threshold_for_fpr(scored.where("split = 'val' and is_attack = 0"), "anomaly_score", [0.01]).first()["threshold"]  # one number
+    s = models.leave_one_out(f.where("split = 'train'"), f.where("split = 'test'"), "family", FEATURES, F.col("is_attack"), "BENIGN", KEEP)
+    both = s.join(scored.where("split = 'test'").select("flow_id", "anomaly_score"), "flow_id")
+    decision = metrics.hybrid_decision(F.col("p"), F.col("anomaly_score"), limit)
+    return metrics.held_out_rates(both, "held", F.col("family"), F.col("is_attack"), {"forest": F.col("p") >= 0.5, "anomaly": F.col("anomaly_score") >= limit, "hybrid": decision != "benign"})
+
+
 @query()
 def held_out_friday(spark: SparkSession, sf: str) -> DataFrame:
     s = models.held_out_prefix(_flows(spark, sf), "source_file", "Friday", FEATURES, F.col("is_attack"), KEEP)
@@ -95,41 +111,29 @@ def shap_importance(spark: SparkSession, sf: str) -> DataFrame:
     return explain.importance(shap_contributions(spark, sf), ["label"])
 
 
-@query()
-def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Files written with every quirk (padded and repeated names, infinities, cp1252 in an archive), read into one table."""
-    folder = _quirky_folder(spark)
-    sources = files.discover(folder)
-    rows, _ = files.read_rows(spark, sources)
-    names = [c for c in rows.columns if c not in ("source_file", "row_no", "__fields", "Label")]
-    typed = files.to_numbers(rows, names, ["source_file", "row_no", "Label"])
-    return typed.select("source_file", "Label", *[q(c) for c in names], "__unparseable")
-
-
-@query()
-def file_scan(spark: SparkSession, sf: str) -> DataFrame:
-    folder = _quirky_folder(spark)
-    return files.scan_files(spark, files.discover(folder)).select("name", "encoding", "line_count", "has_bom")
+def _csv_folder(spark: SparkSession, sf: str) -> str:
+    """The flows as one CSV per source_file, in three encodings and containers, where all executors can read them."""
+    folder = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    named = table(spark, sf, "flows")
+    files.write_csv_files(named, folder, "source_file", [*FEATURES, "label", "flow_id"], variant=F.pmod(F.xxhash64("source_file"), F.lit(3))).count()
+    return folder
 
 
-def _quirky_folder(spark: SparkSession) -> str:
-    """A new folder of the small files, where all executors can read it."""
-    folder = f"{shared_dir(spark).removeprefix('file:').replace('//', '/', 1) if shared_dir(spark).startswith('file:') else shared_dir(spark)}/csv-{uuid.uuid4().hex}"
-    os.makedirs(folder)
-    write_quirky_files(folder)
-    return folder
+@query("""select source_file, count(*) as row_count, count(*) filter (isfinite("Flow Bytes/s")) as finite, count(*) filter (isinf("Flow Packets/s")) as infinite,
+  sum(flow_id)::bigint as ids, count(label) as labelled, 0::bigint as unparseable from flows where source_file is not null group by 1""")
+def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """All flows written as files and read back into one table: rows, cells and ids per file."""
+    rows, _ = files.read_rows(spark, files.discover(_csv_folder(spark, sf)))
+    typed = files.to_numbers(rows, [*FEATURES, "flow_id"], ["source_file", "label"])
+    b, p = q("Flow Bytes/s"), q("Flow Packets/s")
+    return typed.groupBy("source_file").agg(
+        F.count("*").alias("row_count"), F.count_if(is_finite(b)).alias("finite"), F.count_if(F.abs(p) == float("inf")).alias("infinite"), F.sum(F.col("flow_id").cast("long")).alias("ids"), F.count("label").alias("labelled"), F.sum("__unparseable").alias("unparseable")
+    )
 
 
-def write_quirky_files(folder: str) -> None:
-    """Two files of four rows each, one of them in an archive that also holds what macOS leaves there."""
-    head = " Destination Port, Flow Duration, Fwd Header Length,Flow Bytes/s, Flow Packets/s, Bwd PSH Flags, Fwd Header Length, Label\n"
-    monday = ["80,100,20,1.5,Infinity,0,20,BENIGN", "80,100,20,1.5,Infinity,0,20,BENIGN", "443,200,40,NaN,7.5,0,40,BENIGN", "22,0,10,Infinity,-Infinity,0,10,SSH-Patator"]
-    thursday = ["80,100,20,1.5,Infinity,0,20,BENIGN", "443,200,40,NaN,7.5,0,40,DoS Hulk", "53,5,8,abc,1.0,0,8,Web Attack \x96 XSS", "53,7,8,2.0,1.0,0,8,BENIGN"]
-    with open(os.path.join(folder, "Monday-hours.csv"), "w", encoding="utf-8") as f:
-        f.write(head + "\n".join(monday) + "\n")
-    with zipfile.ZipFile(os.path.join(folder, "flows.zip"), "w") as z:
-        z.writestr("csv/Thursday-hours.csv", (head + "\n".join(thursday) + "\n").encode("latin-1"))
-        z.writestr("__MACOSX/csv/._Thursday-hours.csv", b"\x00\x05\x16\x07")
+@query("select source_file as name, count(*) + 1 as line_count, 24 as columns from flows where source_file is not null group by 1")
+def file_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return files.scan_files(spark, files.discover(_csv_folder(spark, sf))).select("name", "line_count", F.size("header").alias("columns"))
 
 
 @query()
@@ -146,13 +150,7 @@ def port_ablation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def detector_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Classifier, isolation forest and the three-way decision for the test flows: one select chain over fitted models."""
+    """Classifier, isolation forest and the three-way decision for the test flows."""
     f = _flows(spark, sf)
-    scorer = models.fit(f.where("split = 'train'"), FEATURES, F.col("is_attack"))
-    prep = scorer.prep
-    forest = iforest.fit_isolation_forest(prep.transform(f.where("split = 'train' and is_attack = 0"), ["flow_id"]), prep.kept, "flow_id")
-    scored = forest.transform(prep.transform(f.where("split <> 'train'"), ["flow_id", "split", "is_attack"])).select("flow_id", "split", "is_attack", "anomaly_score")
-    threshold = metrics.threshold_for_fpr(scored.where("split = 'val' and is_attack = 0"), "anomaly_score", [0.05]).first()["threshold"]  # one number
-    p = scorer.score(f.where("split = 'test'"), ["flow_id"])
-    both = p.join(scored.where("split = 'test'"), "flow_id")
-    return both.select("flow_id", "p", "anomaly_score", metrics.hybrid_decision(F.col("p"), F.col("anomaly_score"), threshold).alias("decision"))
+    fitted = detector.fit_detector(f.where("split = 'train'"), f.where("split = 'val'"), FEATURES, F.col("is_attack"), "flow_id", target_fpr=0.05)
+    return fitted.score(f.where("split = 'test'"), ["flow_id"], "flow_id")

@@ -206,8 +206,7 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
-    name = "s" + uuid.uuid4().hex
-    return replay.run_available(df, name, mode, f"{shared_dir(spark)}/streams/{name}")
+    return replay.run_available(df, mode, f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}")
 
 
 @query("select event_type, case when value >= 50 then 'known_attack' when value >= 20 then 'anomaly' else 'benign' end as decision, count(*) as n from events group by 1, 2")

@@ -1,22 +1,28 @@
-"""Delimited files on disk or inside zip archives: discovery, encodings, headers, and one all-text table of their rows."""
+"""Delimited files, loose or inside zip archives: discovery, encodings, headers, and one all-text table of their rows.
+
+Folders are any that pyarrow's file systems reach (local paths, hdfs:// and the like). The driver lists names only; bytes
+are read by tasks.
+"""
 
 from __future__ import annotations
 
 import codecs
 import csv
 import io
-import os
+import posixpath
 import zipfile
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowquarry.functions.scalars import q
-from flowquarry.operators.linetable import header_names
+from flowquarry.operators.linetable import unique_names
 
 BLOCK = 1 << 20
 
@@ -30,13 +36,13 @@ class Source:
 
     @property
     def name(self) -> str:
-        return os.path.basename(self.member or self.path)
+        return posixpath.basename(self.member or self.path)
 
     def open(self) -> io.BufferedIOBase:
+        system, path = fs.FileSystem.from_uri(self.path)
         if self.member is None:
-            return open(self.path, "rb")
-        with zipfile.ZipFile(self.path) as z:
-            return z.open(self.member)
+            return io.BufferedReader(system.open_input_file(path))
+        return zipfile.ZipFile(system.open_input_file(path)).open(self.member)
 
 
 @dataclass
@@ -52,24 +58,25 @@ class Scan:
 def discover(folder: str) -> list[Source]:
     """All .csv files below folder, also in .zip archives, by base name.
 
-    Names with a leading dot and what macOS adds to archives are ignored; a file on disk wins over an archive's member
+    Names with a leading dot and what macOS adds to archives are ignored; a loose file wins over an archive's member
     of the same name; two files (or two members) of one name are an error, and so is a folder without any.
     """
-    if not os.path.isdir(folder):
+    system, root = fs.FileSystem.from_uri(folder)
+    if system.get_file_info(root).type != fs.FileType.Directory:
         raise FileNotFoundError(f"no such folder: {folder}")
-    disk, packed = [], []
-    for root, _, names in os.walk(folder):
-        for n in sorted(names):
-            path = os.path.join(root, n)
-            if n.startswith("."):
-                continue
-            if n.lower().endswith(".csv"):
-                disk.append(Source(path))
-            elif n.lower().endswith(".zip"):
-                with zipfile.ZipFile(path) as z:
-                    packed += [Source(path, m) for m in z.namelist() if m.lower().endswith(".csv") and not m.startswith("__MACOSX/") and not os.path.basename(m).startswith(".")]
-    loose = {s.name for s in disk}
-    found = disk + [s for s in packed if s.name not in loose]
+    scheme = folder[: len(folder) - len(root)] if folder.endswith(root) else ""
+    loose, packed = [], []
+    for info in system.get_file_info(fs.FileSelector(root, recursive=True)):
+        name = info.base_name
+        if info.type != fs.FileType.File or name.startswith("."):
+            continue
+        if name.lower().endswith(".csv"):
+            loose.append(Source(scheme + info.path))
+        elif name.lower().endswith(".zip"):
+            with zipfile.ZipFile(system.open_input_file(info.path)) as z:
+                packed += [Source(scheme + info.path, m) for m in z.namelist() if m.lower().endswith(".csv") and not m.startswith("__MACOSX/") and not posixpath.basename(m).startswith(".")]
+    names = {s.name for s in loose}
+    found = loose + [s for s in packed if s.name not in names]
     twice = sorted(n for n, k in Counter(s.name for s in found).items() if k > 1)
     if twice:
         raise ValueError(f"several files are called {twice}")
@@ -93,6 +100,11 @@ def scan(source: Source) -> Scan:
                     decoders[e].decode(block)
                 except UnicodeDecodeError:
                     del decoders[e]
+    for e in list(decoders):
+        try:
+            decoders[e].decode(b"", True)
+        except UnicodeDecodeError:
+            del decoders[e]
     lines += last not in (b"", b"\n")
     if "utf-8" in decoders:
         return Scan("utf-8-sig" if bom else "utf-8", lines, bom)
@@ -100,18 +112,6 @@ def scan(source: Source) -> Scan:
     return Scan(best, lines, bom, ["not valid UTF-8", f"decoded as {best}"])
 
 
-def scan_files(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
-    """(name, path, member, encoding, line_count, has_bom): the scans of all files, one task each."""
-    table = spark.createDataFrame([(s.path, s.member) for s in sources], "path string, member string").repartition(max(1, len(sources)))
-
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(s.name, s.path, s.member, x.encoding, x.lines, x.has_bom) for s in (Source(p, m) for p, m in zip(f.path, f.member)) for x in (scan(s),)]
-            yield pd.DataFrame(rows, columns=["name", "path", "member", "encoding", "line_count", "has_bom"])
-
-    return table.mapInPandas(run, "name string, path string, member string, encoding string, line_count long, has_bom boolean")
-
-
 def raw_header(source: Source, encoding: str) -> list[str]:
     with source.open() as f, io.TextIOWrapper(f, encoding, newline="") as t:
         row = next(csv.reader(t), None)
@@ -120,6 +120,21 @@ def raw_header(source: Source, encoding: str) -> list[str]:
     return row
 
 
+def scan_files(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
+    """(name, path, member, encoding, line_count, has_bom, header): the scans of all files, by tasks; an empty file has a null header."""
+    table = spark.createDataFrame([(s.path, s.member) for s in sources], "path string, member string").repartition(max(1, min(len(sources), 4 * spark.sparkContext.defaultParallelism)))
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for s in (Source(p, m) for p, m in zip(f.path, f.member)):
+                x = scan(s)
+                rows.append((s.name, s.path, s.member, x.encoding, x.lines, x.has_bom, raw_header(s, x.encoding) if x.lines else None))
+            yield pd.DataFrame(rows, columns=["name", "path", "member", "encoding", "line_count", "has_bom", "header"])
+
+    return table.mapInPandas(run, "name string, path string, member string, encoding string, line_count long, has_bom boolean, header array<string>")
+
+
 @dataclass
 class Header:
     """Names as they are used, and what was changed for it."""
@@ -131,7 +146,7 @@ class Header:
 
 def normalized_header(raw: Sequence[str]) -> Header:
     """Names without space around them; a repeated one gets .1, .2 and so on, or the next number that is free."""
-    names = header_names(",".join(x.replace(",", " ") for x in raw))
+    names = unique_names(raw)
     trimmed = [x.strip() for x in raw]
     return Header(names, [r for r, t in zip(raw, trimmed) if r != t], {n: t for n, t in zip(names, trimmed) if n != t})
 
@@ -157,52 +172,118 @@ def read_rows(spark: SparkSession, sources: Sequence[Source]) -> tuple[DataFrame
     """(source_file, row_no, columns..., __fields): all rows as text, in the columns of the first file by name.
 
     Files may have their columns in another order, not other columns. Lines with too many fields are kept apart by
-    __fields > columns; short ones are padded with nulls; blank lines are skipped. Files on disk are read by Spark's own
-    reader, which splits them; members of archives are read whole by one task each. The dict has the header of each file.
+    __fields > columns; short ones are padded with nulls; blank lines are skipped. Scans and headers come from tasks, one row
+    per file to the driver. Loose files are read by Spark's own reader, which splits them, all files of one encoding and
+    header together (a quoted line break ends a row there); members of archives are read whole by one task each.
+    row_no rises within a file, with gaps. The dict has the scan and the header of each file.
     """
-    headers, frames, names = {}, [], None
+    scans = {r["name"]: r for r in scan_files(spark, sources).collect()}
+    headers, names, groups, members = {}, None, {}, []
     for s in sources:
-        x = scan(s)
-        head = normalized_header(raw_header(s, x.encoding))
-        headers[s.name] = (x, head)
+        r = scans[s.name]
+        if r["header"] is None:
+            raise ValueError(f"empty file: {s.name}")
+        notes = [] if r["encoding"].startswith("utf-8") else ["not valid UTF-8", f"decoded as {r['encoding']}"]
+        head = normalized_header(r["header"])
+        headers[s.name] = (Scan(r["encoding"], r["line_count"], r["has_bom"], notes), head)
         names = names or head.names
         if set(names) != set(head.names):
             raise ValueError(f"{s.name}: missing {sorted(set(names) - set(head.names))}, extra {sorted(set(head.names) - set(names))}")
-        cols = [f"c{i}" for i in range(len(head.names))]
-        schema = ", ".join(f"{c} string" for c in cols) + ", __bad string"
-        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad", "columnPruning": "false"}
-        latin = not x.encoding.startswith("utf-8")
         if s.member is None:
-            df = spark.read.schema(schema).options(header="true", enforceSchema="true", encoding="ISO-8859-1" if latin else "UTF-8", **options).csv(s.path)
-            df = df.withColumn("row_no", F.monotonically_increasing_id())
+            groups.setdefault((r["encoding"], tuple(head.names)), []).append(s.path)
         else:
-            lines = spark.createDataFrame([(s.path, s.member, x.encoding)], "path string, member string, encoding string").mapInPandas(_member_lines, "row_no long, line string")
-            df = lines.select("row_no", F.from_csv("line", schema, options).alias("r")).select("r.*", "row_no")
-            latin = False
+            members.append((s.path, s.member, r["encoding"], [head.names.index(n) for n in names]))
+    frames = []
+    cols = [f"c{i}" for i in range(len(names))]
+    for (encoding, own), paths in groups.items():
+        schema = ", ".join(f"{c} string" for c in cols) + ", __bad string"
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad", "columnPruning": "false", "header": "true", "enforceSchema": "true"}
+        df = spark.read.schema(schema).options(encoding="UTF-8" if encoding.startswith("utf-8") else "ISO-8859-1", **options).csv(paths)
         fields = F.when(F.col("__bad").isNull(), len(cols)).otherwise(F.size(F.split("__bad", r',(?=(?:[^"]*"[^"]*")*[^"]*$)')))
-        fix = repaired if latin else (lambda c: c)
-        frames.append(df.select(F.lit(s.name).alias("source_file"), "row_no", *[fix(F.col(f"c{head.names.index(n)}")).alias(n) for n in names], fields.alias("__fields")))
+        fix = repaired if encoding == "cp1252" else (lambda c: c)
+        file = F.url_decode(F.regexp_replace(F.element_at(F.split("_metadata.file_path", "/"), -1), r"\+", "%2B"))
+        frames.append(df.select(file.alias("source_file"), F.monotonically_increasing_id().alias("row_no"), *[fix(F.col(f"c{own.index(n)}")).alias(f"c{i}") for i, n in enumerate(names)], fields.alias("__fields")))
+    if members:
+        listed = spark.createDataFrame(members, "path string, member string, encoding string, places array<int>").repartition(len(members))
+        schema = ", ".join(["source_file string, row_no long", *(f"{c} string" for c in cols), "__fields int"])
+        frames.append(listed.mapInPandas(_member_rows, schema))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    return out, headers
+    return out.select("source_file", "row_no", *[F.col(c).alias(n) for c, n in zip(cols, names)], "__fields"), headers
 
 
-def _member_lines(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _member_rows(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        for path, member, encoding in zip(f.path, f.member, f.encoding):
-            with Source(path, member).open() as b, io.TextIOWrapper(b, encoding) as t:
-                next(t, None)
-                batch: list[tuple[int, str]] = []
-                for n, line in enumerate(t):
-                    line = line.rstrip("\r\n")
-                    if line:
-                        batch.append((n, line))
-                    if len(batch) >= 20_000:
-                        yield pd.DataFrame(batch, columns=["row_no", "line"])
-                        batch = []
-                if batch:
-                    yield pd.DataFrame(batch, columns=["row_no", "line"])
+        for path, member, encoding, places in zip(f.path, f.member, f.encoding, f.places):
+            s = Source(path, member)
+            names = ["source_file", "row_no", *(f"c{i}" for i in range(len(places))), "__fields"]
+            with s.open() as b, io.TextIOWrapper(b, encoding, newline="") as t:
+                reader = csv.reader(t)
+                next(reader, None)
+                rows: list[tuple] = []
+                for n, cells in enumerate(reader):
+                    if not cells:
+                        continue
+                    text = [x if x else None for x in cells] + [None] * (len(places) - len(cells))
+                    rows.append((s.name, n, *(text[p] for p in places), len(cells)))
+                    if len(rows) >= 20_000:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
+
+
+def read_small_csv(spark: SparkSession, path: str, index: str) -> DataFrame:
+    """A small report with its first column as index; cells that read NA stay text."""
+    raw = spark.read.options(header="true", nullValue="\u0000", emptyValue="").csv(path)
+    return raw.withColumnRenamed(raw.columns[0], index)
+
+
+def write_csv_files(df: DataFrame, folder: str, file: str, columns: Sequence[str], *, variant: Column | None = None) -> DataFrame:
+    """One CSV per value of ``file`` in folder, written by tasks row by row, whatever the size of a file.
+
+    variant (0 to 2, the same for all rows of a file): 0 UTF-8 with a byte order mark, 1 cp1252, 2 inside a zip archive of
+    its own. Names get a space in front, and are written in reverse order for variant 1. Returns (name, rows).
+    """
+    rows = df.where(F.col(file).isNotNull()).select(F.col(file).alias("__file"), (F.lit(0) if variant is None else variant).cast("int").alias("__variant"), *[q(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
+    names = list(columns)
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: dict[str, int] = {}
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        current, handle, close, order = None, None, lambda: None, []
+
+        def begin(name: str, kind: int) -> tuple:
+            order = list(range(len(names)))[:: -1 if kind == 1 else 1]
+            if kind == 2:
+                raw = system.open_output_stream(f"{root}/{name}.zip")
+                archive = zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED)
+                binary = archive.open(f"data/{name}", "w", force_zip64=True)
+                text = io.TextIOWrapper(binary, "utf-8", newline="")
+                ends = (text.close, archive.close, raw.close)
+            else:
+                raw = system.open_output_stream(f"{root}/{name}")
+                text = io.TextIOWrapper(io.BufferedWriter(raw), "utf-8-sig" if kind == 0 else "cp1252", errors="replace", newline="")
+                ends = (text.close, raw.close)
+            out = csv.writer(text, lineterminator="\n")
+            out.writerow([" " + names[i] for i in order])
+            return out, (lambda: [e() for e in ends]), order
+
+        for b in batches:
+            columns_ = [b.column(f"c{i}").to_pylist() for i in range(len(names))]
+            for n, (name, kind) in enumerate(zip(b.column("__file").to_pylist(), b.column("__variant").to_pylist())):
+                if name != current:
+                    close()
+                    current = name
+                    handle, close, order = begin(name, kind)
+                handle.writerow([columns_[i][n] for i in order])
+                done[name] = done.get(name, 0) + 1
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(list(done), pa.string()), pa.array(list(done.values()), pa.int64())], names=["name", "rows"])
+
+    return rows.repartition("__file").sortWithinPartitions("__file").mapInArrow(write, "name string, rows long")
 
 
 def to_numbers(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:

@@ -7,10 +7,11 @@ import math
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowquarry.functions.scalars import q
+from flowquarry.operators.sampling import stratified_sample
 
 
 def write_clean(df: DataFrame, path: str, features: Sequence[str], *, by: str | None = "split") -> None:
@@ -26,11 +27,58 @@ def load_split(spark, path: str, split: str, columns: Sequence[str] | None = Non
     return df.select(*[q(c) for c in columns]) if columns else df
 
 
+def write_alerts(df: DataFrame, path: str, hidden: Sequence[str] = ("features", "explanation")) -> None:
+    """Records that aren't benign, as JSON lines without their features; what stood in path before is replaced."""
+    df.where("decision <> 'benign'").drop(*hidden).write.mode("overwrite").json(path)
+
+
 def append_alerts(df: DataFrame, path: str, hidden: Sequence[str] = ("features", "explanation")) -> None:
-    """Records that aren't benign, as JSON lines, without their features."""
+    """The same, beside what is there."""
     df.where("decision <> 'benign'").drop(*hidden).write.mode("append").json(path)
 
 
+def access_log(df: DataFrame, path: str, at: str, source: str, decision: str) -> None:
+    """One JSON line per decision: time, source, decision and nothing of the features."""
+    df.select(F.col(at).alias("time"), F.coalesce(source, F.lit("unknown")).alias("source"), F.col(decision).alias("decision")).write.mode("append").json(path)
+
+
+def rewrite_with(df: DataFrame, path: str, **columns: Column) -> None:
+    """df with more (or replaced) columns as Parquet in another folder than the one it was read from."""
+    df.withColumns(columns).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def write_sample(df: DataFrame, path: str, stratum: Column, most: int, key: Column) -> None:
+    """At most ``most`` rows of each stratum, the first by key, as Parquet."""
+    stratified_sample(df, stratum, most, key).write.mode("overwrite").parquet(path)
+
+
+def plain_json(x: object) -> object:
+    """A value for JSON: NaN and infinities are null, all the way down."""
+    if isinstance(x, float):
+        return x if math.isfinite(x) else None
+    if isinstance(x, dict):
+        return {str(k): plain_json(v) for k, v in x.items()}
+    if isinstance(x, (list, tuple)):
+        return [plain_json(v) for v in x]
+    return x
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file at path, on any file system that Spark knows."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The small text file at path."""
+    return bytes(spark.read.format("binaryFile").load(path).first()["content"]).decode()
+
+
 def number(x: float | int | None) -> float | int | None:
     """A JSON number: whole if it is, null if it is none."""
     if x is None or not math.isfinite(x):
@@ -72,7 +120,7 @@ def write_report(tables: dict[str, DataFrame], folder: str, summary: dict | None
         got.to_csv(os.path.join(folder, f"{name}.csv"), index=False)
     if summary is not None:
         with open(os.path.join(folder, "summary.json"), "w") as f:
-            json.dump(summary, f, indent=1, default=str)
+            json.dump(plain_json(summary), f, indent=1, default=str)
 
 
 def offline_reports(folder: str, expected: dict[str, str]) -> dict:

@@ -2,6 +2,7 @@
 
 import math
 import os
+import zipfile
 
 import numpy as np
 import pytest
@@ -10,30 +11,54 @@ from pyspark.sql import functions as F
 
 from flowquarry.functions import scalars
 from flowquarry.operators import correlation, duplicates, explain, features, iforest, metrics, models, orderstats, profile, sampling, serving
-from flowquarry.plans.modelqueries import write_quirky_files
 from flowquarry.sources import files, sinks
 from flowquarry.streaming import replay
 
 NAN, INF = float("nan"), float("inf")
 
 
+COLUMNS = ["Destination Port", "Flow Duration", "Total Fwd Packets", "Flow Bytes/s", "Bwd PSH Flags", "Total Fwd Packets"]
+
+
+def own_rows(seed):
+    """Rows of text cells and a label, with every kind of odd cell, repeated rows and one vector under two labels."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for n in range(30):
+        k = str(rng.integers(1, 90))
+        rate = str(rng.choice(["1.25", "2e3", "NaN", "Infinity", "-Infinity", "oops", "7"]))
+        out.append([str(rng.choice([22, 80, 8443])), str(rng.integers(-2, 400)), k, rate, "0", k, str(rng.choice(["BENIGN", "Bot", "Web Attack \u2013 XSS"]))])
+        if n % 7 == 3:
+            out.append(list(out[-1]))
+        if n == 20:
+            out.append([*out[-1][:-1], "PortScan"])
+    return out
+
+
 @pytest.fixture(scope="module")
 def quirky(spark, tmp_path_factory):
-    folder = str(tmp_path_factory.mktemp("csv"))
-    write_quirky_files(folder)
-    sources = files.discover(folder)
+    """A loose UTF-8 file and a cp1252 one in an archive, beside what macOS leaves in archives."""
+    folder = tmp_path_factory.mktemp("csv")
+    first, second = own_rows(1), own_rows(2)
+    second += first[:4]
+    text = lambda rows: "\n".join([" , ".join([*COLUMNS, "Label"]), *(",".join(r) for r in rows), ""])
+    (folder / "early.csv").write_text(text(first), encoding="utf-8")
+    with zipfile.ZipFile(folder / "more.zip", "w") as z:
+        z.writestr("deep/late.csv", text(second).encode("cp1252"))
+        z.writestr("__MACOSX/deep/._late.csv", b"\0\1\2")
+    sources = files.discover(str(folder))
     table, headers = files.read_rows(spark, sources)
     names = [c for c in table.columns if c not in ("source_file", "row_no", "__fields", "Label")]
-    return sources, headers, names, files.to_numbers(table, names, ["source_file", "row_no", "Label"]).cache()
+    return sources, headers, names, files.to_numbers(table, names, ["source_file", "row_no", "Label"]).cache(), {"early.csv": first, "late.csv": second}
 
 
 def test_discovery_and_scan(quirky, spark, tmp_path):
-    sources, headers, names, _ = quirky
-    assert [s.name for s in sources] == ["Monday-hours.csv", "Thursday-hours.csv"]
+    sources, headers, names, _, texts = quirky
+    assert [s.name for s in sources] == ["early.csv", "late.csv"]
     assert [headers[s.name][0].encoding for s in sources] == ["utf-8", "cp1252"]
-    assert {r["name"]: (r["encoding"], r["line_count"]) for r in files.scan_files(spark, sources).collect()} == {"Monday-hours.csv": ("utf-8", 5), "Thursday-hours.csv": ("cp1252", 5)}
-    assert names[2] == "Fwd Header Length" and names[6] == "Fwd Header Length.1"
-    assert headers["Monday-hours.csv"][1].deduplicated == {"Fwd Header Length.1": "Fwd Header Length"}
+    assert {r["name"]: (r["encoding"], r["line_count"]) for r in files.scan_files(spark, sources).collect()} == {"early.csv": ("utf-8", len(texts["early.csv"]) + 1), "late.csv": ("cp1252", len(texts["late.csv"]) + 1)}
+    assert names == [*COLUMNS[:5], "Total Fwd Packets.1"]
+    assert headers["early.csv"][1].deduplicated == {"Total Fwd Packets.1": "Total Fwd Packets"}
     with pytest.raises(FileNotFoundError):
         files.discover(str(tmp_path / "none"))
     with pytest.raises(FileNotFoundError):
@@ -46,37 +71,71 @@ def test_discovery_and_scan(quirky, spark, tmp_path):
     assert files.label_column(["a", "LABEL"]) == "LABEL"
     with pytest.raises(ValueError):
         files.label_column(["a"])
+    assert files.normalized_header(["a,b ", "c", "c"]).names == ["a,b", "c", "c.1"]
+
+
+def test_encodings_and_odd_rows(spark, tmp_path):
+    latin = b"Name,Label\n\x81\x96,x\n"  # 0x81 is nothing in cp1252
+    (tmp_path / "l.csv").write_bytes(latin)
+    (tmp_path / "w.csv").write_bytes(b"Label,Name\nx,a \x96 b\n\ny\nz,1,2,3\n")
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("m.csv", 'Name,Label\n"two\nlines","q, r"\n\nshort\n')
+    got, headers = files.read_rows(spark, files.discover(str(tmp_path)))
+    assert {n: h[0].encoding for n, h in headers.items()} == {"l.csv": "latin-1", "w.csv": "cp1252", "m.csv": "utf-8"}
+    cells = {(r["source_file"], r["Label"]): (r["Name"], r["__fields"]) for r in got.collect()}
+    assert cells[("l.csv", "x")] == ("\x81\x96", 2) and cells[("w.csv", "x")] == ("a \u2013 b", 2)
+    assert cells[("m.csv", "q, r")] == ("two\nlines", 2) and cells[("m.csv", None)] == ("short", 1)
+    assert cells[("w.csv", "y")][0] is None and cells[("w.csv", "z")][1] == 4
+    (tmp_path / "other.csv").write_text("Name\nx\n")
+    with pytest.raises(ValueError):
+        files.read_rows(spark, files.discover(str(tmp_path)))
+
+
+def number(text):
+    try:
+        return float(text)
+    except ValueError:
+        return NAN
 
 
 def test_profile_of_quirky_files(quirky):
-    _, _, names, df = quirky
+    _, _, names, df, texts = quirky
     got = {r["column_name"]: r for r in profile.column_profile(df, names).collect()}
-    b = got["Flow Bytes/s"]
-    assert (b["nan"], b["pos_inf"], b["neg_inf"]) == (3, 1, 0)
-    p = got["Flow Packets/s"]
-    assert (p["pos_inf"], p["neg_inf"]) == (3, 1)
-    d = got["Flow Duration"]
-    v = [100, 100, 200, 0, 100, 200, 5, 7]
-    assert (d["min"], d["max"], d["zeros"]) == (0, 200, 1)
-    assert math.isclose(d["mean"], np.mean(v)) and math.isclose(d["std"], np.std(v, ddof=1))
+    for i, n in enumerate(names):
+        v = np.array([number(r[i]) for rows_ in texts.values() for r in rows_])
+        f = v[np.isfinite(v)]
+        assert (got[n]["nan"], got[n]["pos_inf"], got[n]["neg_inf"], got[n]["zeros"], got[n]["negatives"]) == (np.isnan(v).sum(), (v == INF).sum(), (v == -INF).sum(), (f == 0).sum(), (f < 0).sum())
+        assert (got[n]["min"], got[n]["max"]) == (f.min(), f.max()) and math.isclose(got[n]["mean"], f.mean(), abs_tol=1e-12) and math.isclose(got[n]["std"], f.std(ddof=1), abs_tol=1e-12)
     assert [c for c, r in got.items() if r["constant"]] == ["Bwd PSH Flags"]
-    assert rows(profile.identical_columns(df, names)) == [("Fwd Header Length", "Fwd Header Length.1")]
-    assert profile.identifier_columns(names) == {"Destination Port": "port"}
-    assert df.agg(F.sum("__unparseable")).first()[0] == 1
+    assert rows(profile.identical_columns(df, names)) == [("Total Fwd Packets", "Total Fwd Packets.1")]
+    assert df.agg(F.sum("__unparseable")).first()[0] == sum(r[3] == "oops" for rows_ in texts.values() for r in rows_)
+
+
+def test_identifier_names():
+    kinds = {"Destination Port": "port", "dst_port": "port", "SrcPort": "port", "Flow ID": "flow id", "flowid": "flow id", "Time_Stamp": "timestamp", "Protocol": "protocol", "My Source IP": "ip address", "source_ip": "ip address"}
+    assert profile.identifier_columns([*kinds, "Port", "Airport", "resource ip", "Flow  ID", "Protocols", "Timestamp 2", "source  port"]) == kinds
 
 
 def test_duplicates_and_cleaning(quirky):
-    _, _, names, df = quirky
+    _, _, names, df, texts = quirky
+    key = lambda r: (*(x if x == x else None for x in map(number, r[:6])), r[6])
+    all_rows = [(f, key(r)) for f, rs in texts.items() for r in rs]
     keys = duplicates.keyed(df, names, F.col("Label"), F.col("source_file"))
     s = duplicates.duplicate_summary(keys).first()
-    assert (s["row_count"], s["exact_duplicates"], s["within_files"], s["across_files"]) == (8, 2, 1, 1)
-    assert rows(duplicates.conflicting_label_sets(keys)) == [("BENIGN | DoS Hulk", 1, 2)]
-    assert duplicates.conflicting_rows(keys).count() == 2
+    total, unique, within = len(all_rows), len({k for _, k in all_rows}), len(set(all_rows))
+    assert (s["row_count"], s["exact_duplicates"], s["within_files"], s["across_files"]) == (total, total - unique, total - within, within - unique)
+    by_vector = {}
+    for _, k in all_rows:
+        by_vector.setdefault(k[:-1], []).append(k[-1])
+    odd = {v: ls for v, ls in by_vector.items() if len(set(ls)) > 1}
+    assert len(odd) >= 2 and duplicates.conflicting_rows(keys).count() == sum(len(ls) for ls in odd.values())
+    assert sum(r[1] for r in rows(duplicates.conflicting_label_sets(keys))) == len(odd)
     clean = df.withColumn("Label", scalars.canonical_label(F.col("Label")))
     kept = duplicates.keep_first(clean, names, F.col("Label"), [F.col("source_file"), F.col("row_no")])
-    assert kept.count() == 6
+    assert kept.count() == unique
     rep = {r[0]: tuple(r)[1:] for r in duplicates.removal_report(clean, kept, F.col("Label"), "label").collect()}
-    assert rep["BENIGN"] == (5, 3, 2) and rep["Web Attack - XSS"] == (1, 1, 0)
+    benign = [k for _, k in all_rows if k[-1] == "BENIGN"]
+    assert rep["BENIGN"] == (len(benign), len(set(benign)), len(benign) - len(set(benign)))
 
 
 def test_labels(spark):
@@ -201,22 +260,30 @@ def test_serving(spark):
     assert [(x["batch_no"], x["row_no"]) for x in cut if x["src"] == "s0"] == [(0, 0), (0, 1), (1, 0)]
 
 
-def test_replay(spark):
-    flows = spark.range(20).select(F.col("id").alias("seq"), F.when(F.col("id") % 4 == 0, "BENIGN").otherwise("DDoS").alias("label"))
-    now, slept = [0.0], []
-
-    def sleep(s):
-        slept.append(round(s, 6))
-        now[0] += s
-
-    score = lambda df: (_ for _ in ()).throw(AssertionError) if "label" in df.columns else df.withColumn("decision", F.when(F.col("seq") % 2 == 0, "known_attack").otherwise("benign"))
-    r = replay.Replayer(score, batch=5, rate=10, clock=lambda: now[0], sleep=sleep)
-    out = r.run(flows, "seq", "label")
-    assert slept == [0.5, 0.5, 0.5] and out["stopped"] == "finished" and out["sent"] == 20
-    assert out["any_alert"]["recall"] == 5 / 15 and out["any_alert"]["false_positive_rate"] == 1.0
-    assert replay.Replayer(score, batch=4).run(flows, "seq", "label", limit=6)["sent"] == 6
-    with pytest.raises(ValueError):
-        replay.Replayer(score, batch=0).run(flows, "seq", "label")
+def test_replay(spark, tmp_path):
+    flows = spark.range(23).select(F.col("id").alias("seq"), F.when(F.col("id") % 4 == 0, "BENIGN").otherwise("DDoS").alias("label"))
+
+    def score(df):
+        assert "label" not in df.columns
+        return df.withColumn("decision", F.when(F.col("seq") % 2 == 0, "known_attack").otherwise("benign"))
+
+    rows_, report = replay.send(flows, "seq", "label", score, str(tmp_path / "all"), size=5, requests_at_once=2)
+    assert sorted(r["seq"] for r in rows_.collect()) == list(range(23)) and report["ending"] == "finished" and report["sent"] == 23
+    attacks = [i for i in range(23) if i % 4]
+    assert report["any_alert"]["recall"] == sum(i % 2 == 0 for i in attacks) / len(attacks) and report["any_alert"]["fpr"] == 1.0
+    assert report["decisions"]["BENIGN"] == {"benign": 0, "anomaly": 0, "known_attack": 6}
+    few, report = replay.send(flows, "seq", "label", score, str(tmp_path / "few"), size=4, limit=6)  # ends inside of a request
+    assert few.count() == 6 and report["ending"] == "limit reached"
+    seen = []
+    _, report = replay.send(flows, "seq", "label", score, str(tmp_path / "paced"), size=5, rate=20.0, requests_at_once=1, progress=lambda n, s: seen.append(n), every=0.2)
+    assert report["sent"] == 23 and report["seconds"] >= 4 * 0.25 and seen == sorted(seen) and report["rows_per_second"] <= 23.1
+    due = replay.recorded_requests(flows, "seq", str(tmp_path / "due"), 5)
+    assert [(r["request"], r["n"], r["due_rows"]) for r in due.orderBy("request").collect()] == [(0, 5, 0), (1, 5, 5), (2, 5, 10), (3, 5, 15), (4, 3, 20)]
+    _, none = replay.send(flows.limit(0), "seq", "label", score, str(tmp_path / "none"))
+    assert none["sent"] == 0 and none["any_alert"]["recall"] is None
+    for size in (0, 1001):
+        with pytest.raises(ValueError):
+            replay.send(flows, "seq", "label", score, str(tmp_path / "bad"), size=size)
 
 
 def test_sinks(spark, tmp_path):
@@ -229,6 +296,17 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "alerts")).columns == ["decision", "id", "label", "split"]
     assert sinks.example_bodies(df, "label", ["Flow Bytes/s"], "id") == {"a": {"features": {"Flow Bytes/s": 2}}, "b": {"features": {"Flow Bytes/s": None}}}
     assert sinks.markdown_table([(12345, 0.123456, "a|b", None)], ["n", "x", "t", "z"]).splitlines()[-1] == "| 12,345 | 0.1235 | a\\|b |  |"
+    sinks.access_log(df.withColumn("at", F.lit("2030")).withColumn("source", F.lit(None).cast("string")), str(tmp_path / "log"), "at", "source", "decision")
+    assert {tuple(r) for r in spark.read.json(str(tmp_path / "log")).collect()} == {("benign", "unknown", "2030"), ("anomaly", "unknown", "2030")}
+    sinks.rewrite_with(df, str(tmp_path / "more"), half=F.col("id") / 2)
+    assert spark.read.parquet(str(tmp_path / "more")).columns[-1] == "half"
+    sinks.write_sample(df, str(tmp_path / "some"), F.lit(1), 1, sampling.order_key("1", F.col("id")))
+    assert spark.read.parquet(str(tmp_path / "some")).count() == 1
+    assert sinks.plain_json({"a": [NAN, 1.0, (INF, "x")], 2: None}) == {"a": [None, 1.0, [None, "x"]], "2": None}
+    sinks.write_text(spark, str(tmp_path / "t" / "x.txt"), "é\n")
+    assert sinks.read_text(spark, str(tmp_path / "t" / "x.txt")) == "é\n"
+    (tmp_path / "small.csv").write_text(",r\nNA,0.5\nb,NA\n")
+    assert rows(files.read_small_csv(spark, str(tmp_path / "small.csv"), "label")) == [("NA", "0.5"), ("b", "NA")]
     sinks.write_report({"t": df}, str(tmp_path / "rep"), {"rows": 2})
     r = sinks.offline_reports(str(tmp_path / "rep"), {"t": "t.csv", "s": "summary.json", "none": "x.csv"})
     assert r["missing"] == ["none"] and r["s"] == {"rows": 2} and r["t"][0]["Flow Bytes/s"] == 2.0
@@ -303,9 +381,9 @@ def test_streams(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([(i, f"t{i % 2}", float(i), f"2030-01-01 00:{i:02d}:00") for i in range(30)], "event_id long, event_type string, value double, ts string").withColumn("ts", F.to_timestamp("ts")).write.parquet(src)
     s = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
-    got = replay.run_available(replay.tumbling(replay.event_time(s, "ts", "1 hour"), "ts", "10 minutes", [], [F.count("*").alias("n")]), "w1", "complete", str(tmp_path / "c1"))
+    got = replay.run_available(replay.tumbling(replay.event_time(s, "ts", "1 hour"), "ts", "10 minutes", [], [F.count("*").alias("n")]), "complete", str(tmp_path / "c1"))
     assert sorted(r["n"] for r in got.collect()) == [10, 10, 10]
-    low = replay.run_available(replay.bottom_k_stream(s, "event_type", "event_id", 3), "w2", "update", str(tmp_path / "c2"))
+    low = replay.run_available(replay.bottom_k_stream(s, "event_type", "event_id", 3), "update", str(tmp_path / "c2"))
     assert {r["event_type"]: list(r["keys"]) for r in low.collect()} == {"t0": [0, 2, 4], "t1": [1, 3, 5]}
     sink = replay.scoring_sink(str(tmp_path / "pred"), str(tmp_path / "alerts"))
     scored = s.withColumn("decision", metrics.hybrid_decision(F.col("value") / 30, F.col("value"), 10.0))
@@ -313,5 +391,9 @@ def test_streams(spark, tmp_path):
         q = scored.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
         q.awaitTermination(60)
         q.stop()
-    assert spark.read.parquet(str(tmp_path / "pred")).count() == 30
+    once = spark.read.parquet(str(tmp_path / "pred")).drop("batch")
+    once = spark.createDataFrame(once.collect(), once.schema)
+    assert once.count() == 30
+    for _ in range(2):  # a batch that is tried again replaces its rows
+        sink(once.limit(30), 0)
     assert spark.read.json(str(tmp_path / "alerts")).count() == 20
