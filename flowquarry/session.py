@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,9 +46,34 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Write df as Parquet under the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write df as Parquet under the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The table stays until ``release``, as results are read later than queries are built.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this process has stored. Results that read them can't be read any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    context = SparkContext._active_spark_context
+    if _written and context is not None and context._jsc is not None:
+        try:
+            release(SparkSession(context))
+        except Exception:  # noqa: BLE001  # the JVM may be gone; the folder is the cluster's to clean then
+            pass

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from flowquarry.session import get_spark  # noqa: E402
+from flowquarry.session import get_spark, release  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,6 +13,7 @@ def spark():
     s = get_spark("tests", 4, **{"spark.sql.shuffle.partitions": "4", "spark.default.parallelism": "4"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    release(s)
 
 
 def rows(df):

@@ -54,16 +54,34 @@ def test_against_sql(name, spark, duck):
     assert mine == theirs
 
 
-@pytest.mark.parametrize("name", ["p3_found", "p3_unified_schema", "p3_unified_rows", "p5_found", "p5_loaded_rows", "p5_load_balance", "p6_found", "p6_profiles", "csv_scan", "file_scan"])
+@pytest.mark.parametrize("name", ["p3_found", "p3_unified_schema", "p3_unified_rows", "p5_found", "p5_loaded_rows", "p5_failing_cells", "p5_load_balance", "p6_found", "p6_by_loads", "p6_profiles"])
 def test_runs(name, spark):
     assert core.QUERIES[name](spark, SF).collect()
 
 
+def test_loads_give_the_same_issues(spark):
+    got = [sorted(map(tuple, core.QUERIES[n](spark, SF).collect())) for n in ("p6_found", "p6_by_loads")]
+    assert got[0] == got[1]
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["decision", "n"] and len(df.collect()) == 3
 
 
+def test_stored_tables_are_released(spark):
+    from flowquarry import session
+
+    df = session.stored(spark.range(3))
+    assert df.count() == 3
+    path = session._written[-1]
+    held, session._written[:] = session._written[:-1], [path]
+    session.release(spark)
+    session._written[:] = held
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_nothing_outside_imports_the_optional_subpackage():
     root = os.path.dirname(os.path.abspath(entry.__file__))
     found = subprocess.run(["grep", "-rnE", r"flowquarry\.llm|from flowquarry import llm", "--include=*.py", "flowquarry", "bench.py", "tests"], cwd=root, capture_output=True, text=True).stdout.splitlines()
