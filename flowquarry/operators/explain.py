@@ -134,7 +134,8 @@ def explained(df: DataFrame, vector: str, keep: Sequence[str], names: Sequence[s
     return out
 
 
-def importance(contributions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Mean |shap| per feature (and group)."""
+def importance(contributions: DataFrame, by: Sequence[str] = (), most: int | None = None) -> DataFrame:
+    """Mean |shap| per feature (and group), the greatest first; with ``most`` only as many rows."""
     long = contributions.select(*by, F.explode("contributions").alias("c"))
-    return long.groupBy(*by, F.col("c.feature").alias("feature")).agg(F.avg(F.abs("c.shap")).alias("mean_abs_shap"))
+    got = long.groupBy(*by, F.col("c.feature").alias("feature")).agg(F.avg(F.abs("c.shap")).alias("mean_abs_shap")).orderBy(F.desc("mean_abs_shap"), *by, "feature")
+    return got if most is None else got.limit(most)

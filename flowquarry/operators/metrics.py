@@ -70,9 +70,10 @@ def ranking_metrics(df: DataFrame, y: Column, score: Column) -> DataFrame:
 
 
 def per_label_rates(df: DataFrame, label: Column, flag: Column) -> DataFrame:
-    """(label, row_count, flagged, rate) per label."""
+    """(label, row_count, flagged, rate) per label, the most frequent first."""
     yes = F.coalesce(flag, F.lit(False))
-    return df.groupBy(label.alias("label")).agg(F.count("*").alias("row_count"), F.count_if(yes).alias("flagged")).withColumn("rate", F.col("flagged") / F.col("row_count"))
+    got = df.groupBy(label.alias("label")).agg(F.count("*").alias("row_count"), F.count_if(yes).alias("flagged")).withColumn("rate", F.col("flagged") / F.col("row_count"))
+    return got.orderBy(F.desc("row_count"), "label")
 
 
 def threshold_for_fpr(df: DataFrame, score: str, targets: Sequence[float]) -> DataFrame:

@@ -232,17 +232,17 @@ _N = range(len(_KEPT))
 
 
 @query(f"""with d as (select flow_id, split, {', '.join(f'case when isfinite({_X.format(c)}) then {_X.format(c)} end as x{i}' for i, c in enumerate(_KEPT))} from flows),
-  q as (select {', '.join(f'quantile_cont(x{i}, 0.5) as m{i}' for i in _N)} from d where split = 'train'),
+  q as (select {', '.join(f'quantile_cont(x{i}, 0.5) as m{i}, count(x{i}) = 0 or (count(x{i}) = count(*) and min(x{i}) = max(x{i})) as k{i}' for i in _N)} from d where split = 'train'),
   f as (select flow_id, split, {', '.join(f'coalesce(x{i}, m{i}) as x{i}' for i in _N)} from d, q),
   l as materialized (select flow_id, split, {', '.join(f'sign(x{i}) * ln(1 + abs(x{i})) as x{i}' for i in _N)} from f),
   s as materialized (select {', '.join(f'avg(x{i}) as a{i}, stddev_pop(x{i}) as s{i}' for i in _N)} from l where split = 'train')
-select flow_id, {', '.join(f'round((x{i} - a{i}) / case when s{i} = 0 then 1 else s{i} end, 5) + 0.0::double as "{c}"' for i, c in enumerate(_KEPT))} from l, s where split = 'test'""")
+select flow_id, {', '.join(f'case when not k{i} then round((x{i} - a{i}) / case when s{i} = 0 then 1 else s{i} end, 5) + 0.0::double end as "{c}"' for i, c in enumerate(_KEPT))} from l, s, q where split = 'test'""")
 def feature_scale(spark: SparkSession, sf: str) -> DataFrame:
-    """All features but the excluded one, as a model that scales gets them."""
+    """All features but the excluded one, as a model that scales gets them; null for a column that is constant in train."""
     f = _flows(spark, sf)
     p = features.fit_preprocessor(f.where("split = 'train'"), FEATURES, scale=True)
     out = p.transform(f.where("split = 'test'"), ["flow_id"])
-    return out.select("flow_id", *[(F.round(q(c), 5) + F.lit(0.0)).alias(c) for c in p.kept])
+    return out.select("flow_id", *[(F.round(q(c), 5) + F.lit(0.0) if c in p.kept else F.lit(None).cast("double")).alias(c) for c in _KEPT])
 
 
 _DROPS = [*FEATURES, "Flow Duration copy", "Always 3"]
