@@ -211,9 +211,10 @@ def parse_lines(
         reason[repeat] = "header"
         reason[blank] = "blank"
         open_ = np.equal(reason, None)
-        no_number, no_time = [None] * n, [None] * n
         ok_label = np.ones(n, bool)
-        cell_lists: list = [None] * n
+        rows_of: list[np.ndarray] = []  # rows that the lists below belong to, in their order
+        bits_of: tuple[list[pa.Array], list[pa.Array]] = ([], [])
+        cells_of: list[pa.Array] = []
         pieces = []
         for w in np.unique(widths[g[open_]]) if open_.any() else []:
             mine = np.flatnonzero(open_ & (widths[g] == w))
@@ -228,21 +229,27 @@ def parse_lines(
             kind, value = classify(pa.concat_arrays(columns))
             kind, value = kind.reshape(w, -1).T, value.reshape(w, -1).T
             if lines:
-                for out, bits in ((no_number, (kind == TEXT) | (kind == TIMESTAMP)), (no_time, (kind != TIMESTAMP) & (kind != MISSING))):
-                    for i, x in zip(got.tolist(), _words(bits).to_pylist()):
-                        out[i] = x
+                rows_of.append(got)
+                for out, bits in zip(bits_of, ((kind == TEXT) | (kind == TIMESTAMP), (kind != TIMESTAMP) & (kind != MISSING))):
+                    out.append(_words(bits))
                 if known is not None:
                     pos = label_at[g[got]]
                     for p in np.unique(pos[pos >= 0]):
                         who = np.flatnonzero(pos == p)
                         ok_label[got[who]] = pc.is_in(normalized_labels(columns[p].take(pa.array(who))), known).to_numpy(zero_copy_only=False)
-            if cells:
-                for i, x in zip(got.tolist(), zip(*(c.to_pylist() for c in columns))):
-                    cell_lists[i] = list(x)
+                if cells:
+                    by_row = np.arange(w * len(got)).reshape(w, -1).T.ravel()
+                    cells_of.append(pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * w), pa.concat_arrays(columns).take(pa.array(by_row))))
             pieces.append((got, columns, kind, value))
         if lines and n:
             empty = np.not_equal(reason, None)
-            arrays = [pa.array(file_no[body], pa.int64()), pa.array(chunk_no[body], pa.int32()), pa.array(line_no[body], pa.int32()), pa.array(reason, pa.string()), pa.array(no_number, pa.list_(pa.int64())), pa.array(no_time, pa.list_(pa.int64())), pa.array(ok_label, mask=empty), pa.array(cell_lists, pa.list_(pa.string()))]
+            order = np.full(n, -1, np.int64)
+            if rows_of:
+                at = np.concatenate(rows_of)
+                order[at] = np.arange(len(at))
+            spread = lambda parts, kind: pa.concat_arrays(parts).cast(kind).take(pa.array(order, mask=order < 0)) if parts else pa.nulls(n, kind)  # noqa: B023, E731
+            whole_bits, text_cells = [spread(b, pa.list_(pa.int64())) for b in bits_of], spread(cells_of, pa.list_(pa.string()))
+            arrays = [pa.array(file_no[body], pa.int64()), pa.array(chunk_no[body], pa.int32()), pa.array(line_no[body], pa.int32()), pa.array(reason, pa.string()), *whole_bits, pa.array(ok_label, mask=empty), text_cells]
             out = pa.StructArray.from_arrays(arrays, fields=list(line_type))
             yield pa.RecordBatch.from_arrays([out, pa.nulls(n, stat_type)], names=["line", "stat"])
         if stats:
