@@ -14,22 +14,28 @@ from pyspark.sql import functions as F
 from flowquarry.functions.scalars import q
 from flowquarry.operators import iforest, models
 from flowquarry.operators.features import Preprocessor, SchemaError
+from flowquarry.operators.forest import ForestModel
 from flowquarry.operators.iforest import IsolationForest
 from flowquarry.operators.metrics import hybrid_decision, threshold_for_fpr
 from flowquarry.sources.sinks import read_text, write_text
 
 
 def save_scorer(spark: SparkSession, scorer: models.Scorer, folder: str) -> None:
-    """The preprocessor as JSON and the classifier as an MLlib model, in folder; what was there is replaced."""
-    constant = isinstance(scorer.model, float)
-    if not constant:
+    """The preprocessor as JSON and the classifier as an MLlib model (a forest as JSON), in folder; what was there is replaced."""
+    constant, forest = isinstance(scorer.model, float), isinstance(scorer.model, ForestModel)
+    if forest:
+        write_text(spark, f"{folder}/forest.json", json.dumps(scorer.model.describe()))
+    elif not constant:
         scorer.model.write().overwrite().save(f"{folder}/model")
     write_text(spark, f"{folder}/scorer.json", json.dumps({"preprocessor": scorer.prep.describe(), "constant": scorer.model if constant else None, "kind": None if constant else type(scorer.model).__name__}))
 
 
 def load_scorer(spark: SparkSession, folder: str) -> models.Scorer:
     about = json.loads(read_text(spark, f"{folder}/scorer.json"))
-    model = about["constant"] if about["kind"] is None else getattr(classification, about["kind"]).load(f"{folder}/model")
+    if about["kind"] == ForestModel.__name__:
+        model = ForestModel(**json.loads(read_text(spark, f"{folder}/forest.json")))
+    else:
+        model = about["constant"] if about["kind"] is None else getattr(classification, about["kind"]).load(f"{folder}/model")
     return models.Scorer(Preprocessor(**about["preprocessor"]), model)
 
 
