@@ -50,3 +50,13 @@ def test_contributions_don_t_fetch_nodes_one_by_one(spark, table):
     trees = explain.trees_of(m.model)
     assert time.monotonic() - began < 2 and len(trees) == 20
     assert np.mean([len(t.feature) for t in trees]) > 500
+
+
+def test_explained_rows_are_dealt_to_tasks(spark, table):
+    m = models.fit(table.where("id < 500"), COLUMNS, F.col("y"), trees=3, depth=3)
+    vec = m.vectors(table.where("id < 40").coalesce(1), ["id"]).withColumn("v", models.vector_to_array("__x"))
+    got = explain.explained(vec, "v", ["id"], m.prep.kept, explain.trees_of(m.model)).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 40 and len({r["task"] for r in got}) > 3
+    want = np.mean(np.abs([[c["shap"] for c in r["contributions"]] for r in got]), 0)
+    found = {r["feature"]: r["mean_abs_shap"] for r in explain.importance(explain.explained(vec, "v", ["id"], m.prep.kept, explain.trees_of(m.model))).collect()}
+    assert [found[f] for f in m.prep.kept] == pytest.approx(want)
