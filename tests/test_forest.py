@@ -60,3 +60,28 @@ def test_explained_rows_are_dealt_to_tasks(spark, table):
     want = np.mean(np.abs([[c["shap"] for c in r["contributions"]] for r in got]), 0)
     found = {r["feature"]: r["mean_abs_shap"] for r in explain.importance(explain.explained(vec, "v", ["id"], m.prep.kept, explain.trees_of(m.model))).collect()}
     assert [found[f] for f in m.prep.kept] == pytest.approx(want)
+
+
+def test_preprocessing_without_each_group_is_what_its_rows_alone_give(spark):
+    from flowquarry.operators import features
+
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(400):
+        g = "abc"[i % 3] if i % 50 else None
+        a = float(np.round(rng.normal(), 1))
+        # e differs from a in group b only, d varies in group c only; f has gaps
+        rows.append((g, a, -a, a + (g == "b"), 5.0 + i * (g == "c"), [None, float("nan"), float("inf"), a * 3][i % 4], None))
+    df = spark.createDataFrame(rows, "g string, a double, b double, e double, d double, f double, n double").repartition(3)
+    columns = ["a", "b", "e", "d", "f", "n"]
+    got = features.fit_preprocessors_without(df, columns, "g", ["a", "b", "c"], exclude=("b",))
+    for g in "abc":
+        assert got[g] == features.fit_preprocessor(df.where(F.col("g") != g), columns, exclude=("b",))
+    assert got["b"].duplicate_of == {"e": "a"} and got["c"].constant == ["d", "n"] and got["a"].duplicate_of == {}
+
+
+def test_leaving_families_out_takes_the_preprocessing_from_one_pass(spark, table, monkeypatch):
+    monkeypatch.setattr(models, "fit_preprocessor", lambda *a, **k: pytest.fail("one preprocessing per family"))
+    df = table.withColumn("fam", F.concat(F.lit("f"), F.col("id") % 3))
+    got = models.leave_one_out(df.where("id < 300"), df.where("id >= 5900"), "fam", COLUMNS, F.col("y"), "f0", ["id"], trees=2, depth=2)
+    assert {(r["held"], r["count"]) for r in got.groupBy("held").count().collect()} == {("f1", 100), ("f2", 100)}
