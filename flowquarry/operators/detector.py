@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from flowquarry.functions.scalars import q
 from flowquarry.operators import iforest, models
-from flowquarry.operators.features import Preprocessor, SchemaError
+from flowquarry.operators.features import Preprocessor, SchemaError, scaled
 from flowquarry.operators.forest import ForestModel
 from flowquarry.operators.iforest import IsolationForest
 from flowquarry.operators.metrics import hybrid_decision, threshold_for_fpr
+from flowquarry.session import stored
 from flowquarry.sources.sinks import read_text, write_text
 
 
@@ -121,21 +122,24 @@ def compare(train: DataFrame, val: DataFrame, test: DataFrame, columns: Sequence
 
     from flowquarry.operators import metrics as M
 
-    table, flags, scorers, f1 = None, test.select(q(label).alias("label"), F.monotonically_increasing_id().alias("__row"), *[q(c) for c in dict.fromkeys(columns)], y.alias("__truth")), {}, {}
+    table, counts, scorers, f1 = None, None, {}, {}
     truth = "__truth"
-    counts = None
+    plain = models.fit_preprocessor(train, columns, **{k: v for k, v in how.items() if k == "exclude"})
     for spec in specs:
-        scorers[spec] = s = models.fit(train, columns, y, spec, **how)
+        scorers[spec] = s = models.fit(train, columns, y, spec, **how, prep=scaled(train, plain) if spec == "logistic_regression" else plain)
         for split, part in (("val", val), ("test", test)):
-            p = s.score(part.withColumn(truth, y.cast("int")), [truth])
+            rows = part.select(q(label).alias("label"), y.cast("int").alias(truth), *[q(c) for c in dict.fromkeys(columns)])
             began = time.monotonic()
-            n = p.agg(F.count("p")).first()[0]
+            p = stored(s.score(rows, ["label", truth]))  # each row is scored once
             took = time.monotonic() - began
-            row = M.rates(M.confusion(p, F.col(truth), F.col("p") >= 0.5)).crossJoin(M.ranking_metrics(p, F.col(truth), F.col("p")))  # two single rows
+            n = p.count()
+            rated = M.rates(M.confusion(p, F.col(truth), F.col("p") >= 0.5))
+            if split == "val":
+                f1[spec] = rated.first()["f1"]
+            row = rated.crossJoin(M.ranking_metrics(p, F.col(truth), F.col("p")))  # two single rows
             row = row.select(F.lit(spec).alias("model"), F.lit(split).alias("split"), "*", F.lit(1e6 * took / n if n else None).cast("double").alias("microseconds_per_row"))
             table = row if table is None else table.unionByName(row)
-        per = M.per_label_rates(s.score(flags, ["label"]), F.col("label"), F.col("p") >= 0.5).select(F.col("label").alias("l"), "row_count", F.col("rate").alias(spec))
+        per = M.per_label_rates(p, F.col("label"), F.col("p") >= 0.5).select(F.col("label").alias("l"), "row_count", F.col("rate").alias(spec))
         counts = per.select("l", "row_count", spec) if counts is None else counts.join(per.drop("row_count").withColumnRenamed("l", "k"), F.col("l").eqNullSafe(F.col("k"))).drop("k")
-        f1[spec] = table.where((F.col("model") == spec) & (F.col("split") == "val")).first()["f1"]
     best = max((s for s in specs if s != "majority_class"), key=lambda s: f1[s] or 0.0, default=specs[0])
     return table, counts.withColumnRenamed("l", "label"), best, scorers[best]

@@ -85,3 +85,25 @@ def test_leaving_families_out_takes_the_preprocessing_from_one_pass(spark, table
     df = table.withColumn("fam", F.concat(F.lit("f"), F.col("id") % 3))
     got = models.leave_one_out(df.where("id < 300"), df.where("id >= 5900"), "fam", COLUMNS, F.col("y"), "f0", ["id"], trees=2, depth=2)
     assert {(r["held"], r["count"]) for r in got.groupBy("held").count().collect()} == {("f1", 100), ("f2", 100)}
+
+
+def test_comparison_scores_each_row_once_and_shares_the_preprocessing(spark, table, monkeypatch):
+    from flowquarry.operators import detector
+
+    scored, learned = spark.sparkContext.accumulator(0), []
+    score, learn = models.Scorer.score, models.fit_preprocessor
+
+    def counted(self, df, keep, name="p"):
+        def seen(p):
+            scored.add(1)
+            return p
+
+        return score(self, df, keep, name).withColumn(name, F.udf(seen, "double")(name))
+
+    monkeypatch.setattr(models.Scorer, "score", counted)
+    monkeypatch.setattr(models, "fit_preprocessor", lambda *a, **k: learned.append(1) or learn(*a, **k))
+    df = table.withColumn("label", F.when(F.col("y") == 1, "DoS").when(F.col("id") % 2 == 0, "BENIGN"))
+    got, by_label, best, _ = detector.compare(df.where("id < 300"), df.where("id between 300 and 399"), df.where("id between 400 and 549"), COLUMNS, F.col("y"), "label", specs=("majority_class", "random_forest"), trees=3, depth=3)
+    assert len(got.collect()) == 4 and best == "random_forest"
+    assert {r["label"] for r in by_label.collect()} == {"DoS", "BENIGN", None} and by_label.agg(F.sum("row_count")).first()[0] == 150
+    assert scored.value == 2 * (100 + 150) and learned == [1]
