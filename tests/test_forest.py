@@ -107,3 +107,31 @@ def test_comparison_scores_each_row_once_and_shares_the_preprocessing(spark, tab
     assert len(got.collect()) == 4 and best == "random_forest"
     assert {r["label"] for r in by_label.collect()} == {"DoS", "BENIGN", None} and by_label.agg(F.sum("row_count")).first()[0] == 150
     assert scored.value == 2 * (100 + 150) and learned == [1]
+
+
+def test_a_forest_of_the_operators_size_takes_seconds_and_is_the_same_from_held_and_reread_blocks(spark, table, monkeypatch):
+    train = table.where("id < 5000").coalesce(2).cache()
+    models.fit(train, COLUMNS, F.col("y"), trees=2, depth=2)  # starts the workers
+    began = time.monotonic()
+    a = models.fit(train, COLUMNS, F.col("y")).model
+    assert time.monotonic() - began < 30 and len(a.trees) == 100  # on histograms sent through shuffles: some minutes
+    monkeypatch.setattr(forest, "HELD", 0)
+    b = models.fit(train, COLUMNS, F.col("y")).model
+    assert all(np.array_equal(s, t) for s, t in zip(a.trees, b.trees))
+    x, y = flows(6000)
+    p = a.score(list(x[5000:].T))
+    assert ((p >= 0.5) == y[5000:]).mean() > 0.7
+    for t in a.trees[:3]:  # children share the rows of their node
+        inner = np.flatnonzero(t[:, 0] >= 0)
+        left = t[inner, 2].astype(int)
+        assert np.array_equal(t[inner, 3:], t[left, 3:] + t[left + 1, 3:]) and (t[:, 3:].sum(1) > 0).all()
+
+
+def test_few_rows_and_wrong_truth(spark, table):
+    one = models.fit(table.where("id = 1"), COLUMNS, F.col("y"), trees=3, depth=3)
+    assert [r["p"] for r in one.score(table.where("id < 3"), ["id"]).collect()] == [float(table.where("id = 1").first()["y"])] * 3
+    for bad, why in ((F.lit(None), "truth"), (F.lit(2), "truth")):
+        with pytest.raises(Exception, match=why):
+            models.fit(table.where("id < 9"), COLUMNS, bad, trees=1, depth=1)
+    with pytest.raises(ValueError, match="no rows"):
+        models.fit(table.where("id < 0"), COLUMNS, F.col("y"), trees=1, depth=1)
