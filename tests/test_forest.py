@@ -135,3 +135,15 @@ def test_few_rows_and_wrong_truth(spark, table):
             models.fit(table.where("id < 9"), COLUMNS, bad, trees=1, depth=1)
     with pytest.raises(ValueError, match="no rows"):
         models.fit(table.where("id < 0"), COLUMNS, F.col("y"), trees=1, depth=1)
+
+
+def test_rates_by_label_are_those_of_the_stored_scores(spark, table, monkeypatch):
+    from flowquarry.operators import detector
+
+    kept, stored = [], detector.stored
+    monkeypatch.setattr(detector, "stored", lambda d: kept.append(stored(d)) or kept[-1])
+    df = table.withColumn("label", F.concat(F.lit("l"), F.col("id") % 4))
+    by_label = detector.compare(df.where("id < 200"), df.where("id between 200 and 249"), df.where("id between 300 and 499"), COLUMNS, F.col("y"), "label", specs=("majority_class", "random_forest"), trees=3, depth=3)[1]
+    want = kept[-1].groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("p") >= 0.5).cast("double")).alias("r"))
+    got = {r["label"]: (r["row_count"], r["random_forest"]) for r in by_label.collect()}
+    assert len(kept) == 4 and got == {r["label"]: (r["n"], pytest.approx(r["r"])) for r in want.collect()} and len(got) == 4
