@@ -147,3 +147,24 @@ def test_rates_by_label_are_those_of_the_stored_scores(spark, table, monkeypatch
     want = kept[-1].groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("p") >= 0.5).cast("double")).alias("r"))
     got = {r["label"]: (r["row_count"], r["random_forest"]) for r in by_label.collect()}
     assert len(kept) == 4 and got == {r["label"]: (r["n"], pytest.approx(r["r"])) for r in want.collect()} and len(got) == 4
+
+
+def test_families_beside_anomalies_share_one_preprocessing(spark, monkeypatch):
+    import os
+
+    from flowquarry.operators import iforest
+    from flowquarry.plans import core
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+
+    class Guess:
+        def fit(self, vectors):
+            return 0.5
+
+    monkeypatch.setattr(models, "fit_preprocessor", lambda *a, **k: pytest.fail("one preprocessing per family"))
+    monkeypatch.setattr(models, "estimator", lambda *a, **k: Guess())
+    monkeypatch.setattr(iforest, "fit_isolation_forest", lambda df, features, key, **k: iforest.IsolationForest(features, [np.array([[-1, 0, -1, -1, 1.0]])], 256))
+    got = core.QUERIES["leave_one_family_out_with_anomalies"](spark, sf).collect()
+    assert len(got) > 1 and {r["forest_fpr"] for r in got} == {1.0}
