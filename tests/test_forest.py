@@ -168,3 +168,68 @@ def test_families_beside_anomalies_share_one_preprocessing(spark, monkeypatch):
     monkeypatch.setattr(iforest, "fit_isolation_forest", lambda df, features, key, **k: iforest.IsolationForest(features, [np.array([[-1, 0, -1, -1, 1.0]])], 256))
     got = core.QUERIES["leave_one_family_out_with_anomalies"](spark, sf).collect()
     assert len(got) > 1 and {r["forest_fpr"] for r in got} == {1.0}
+
+
+def test_contributions_are_shapley_values_where_features_come_again_on_a_path():
+    import itertools
+    import math
+
+    x, y = flows(3000)
+    x = x[:, :4]
+    trees = explain.trees_of(grown(x, y, 3, 7))
+    assert any((t.feature >= 0).sum() > 20 for t in trees)  # more nodes on a path than features
+
+    def expected(t, row, known, at=0):
+        f = t.feature[at]
+        if f < 0:
+            return t.value[at]
+        if f in known:
+            return expected(t, row, known, t.left[at] if row[f] <= t.threshold[at] else t.right[at])
+        return sum(t.cover[c] / t.cover[at] * expected(t, row, known, c) for c in (t.left[at], t.right[at]))
+
+    some = x[:5]
+    phi, base = explain.shap_values(trees, some)
+    for row, got in zip(some, phi):
+        for j in range(4):
+            want = 0.0
+            for s in (s for n in range(4) for s in itertools.combinations({0, 1, 2, 3} - {j}, n)):
+                weight = math.factorial(len(s)) * math.factorial(3 - len(s)) / 24
+                want += weight * np.mean([expected(t, row, {*s, j}) - expected(t, row, set(s)) for t in trees])
+            assert got[j] == pytest.approx(want, abs=1e-12)
+    assert base == pytest.approx(np.mean([expected(t, some[0], set()) for t in trees]))
+
+
+def test_rows_in_several_blocks_get_what_they_get_alone():
+    x, y = flows(3000)
+    trees = explain.trees_of(grown(x, y, 3, 10))
+    many = np.tile(x[:40], (60, 1))
+    phi, _ = explain.shap_values(trees, many)
+    assert np.abs(phi - np.tile(explain.shap_values(trees, x[:40])[0], (60, 1))).max() < 1e-12
+    assert explain.shap_values(trees, x[:0])[0].shape == (0, K)
+
+
+def test_trees_are_laid_out_once_for_each_task_that_runs(spark, table):
+    m = models.fit(table.where("id < 500"), COLUMNS, F.col("y"), trees=3, depth=3)
+    vec = m.vectors(table.where("id < 400"), ["id"]).withColumn("v", models.vector_to_array("__x"))
+    got = explain.explained(vec, "v", ["id"], m.prep.kept, explain.trees_of(m.model))
+    assert got.select(F.spark_partition_id().alias("t")).distinct().count() == spark.sparkContext.defaultParallelism  # before: three times as many
+
+
+@pytest.mark.parametrize("without", [None, ("g", ["a", "b", "none"])])
+def test_quantiles_of_columns_are_those_of_their_unpivoted_values(spark, without, monkeypatch):
+    from flowquarry.operators import orderstats, profile
+
+    rng = np.random.default_rng(5)
+    odd = [None, float("nan"), float("inf"), -float("inf"), 0.0, -0.0, 5e-324, -1e308, 1e308]
+    rows = [("abc"[i % 3] if i % 40 else None, float(np.round(rng.normal(), 2)), odd[i % 9], float(i % 7), None, -float(10.0 ** rng.integers(-9, 9))) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, `a b` double, odd double, few double, none double, wide double").repartition(3).cache()
+    columns, probs = df.columns[1:], [0.0, 0.25, 0.5, 0.9, 1.0]
+    keep = [F.col("g")] if without else []
+    want = orderstats.exact_quantiles(profile.unpivoted(df, columns, keep), ["column_name"], "value", probs, without=without).collect()
+    plans = []
+    stored = orderstats.stored
+    monkeypatch.setattr(orderstats, "stored", lambda d: plans.append(d._jdf.queryExecution().toString()) or stored(d))
+    monkeypatch.setattr(orderstats, "CHUNK", 100)
+    got = orderstats.column_quantiles(df, columns, probs, without=without)
+    assert len(want) > 15 and sorted(map(str, got.collect())) == sorted(map(str, want)) and got.columns[0] == "column_name"
+    assert plans and not any("Expand" in p for p in plans)  # no row per cell
