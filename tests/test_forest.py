@@ -233,3 +233,31 @@ def test_quantiles_of_columns_are_those_of_their_unpivoted_values(spark, without
     got = orderstats.column_quantiles(df, columns, probs, without=without)
     assert len(want) > 15 and sorted(map(str, got.collect())) == sorted(map(str, want)) and got.columns[0] == "column_name"
     assert plans and not any("Expand" in p for p in plans)  # no row per cell
+
+
+def test_forests_without_each_family_are_those_of_the_other_rows_alone_and_share_their_passes(spark, table, monkeypatch):
+    written, stored = [], forest.stored
+    monkeypatch.setattr(forest, "stored", lambda *a: written.append(1) or stored(*a))
+    df = table.withColumn("fam", F.when(F.col("id") % 50 > 0, F.concat(F.lit("f"), F.col("id") % 4)))
+    df = df.withColumn("c3", F.when(F.col("id") % 7 > 0, F.col("c3"))).withColumn("c5", F.when(F.col("fam") == "f2", F.col("c5")).otherwise(1.0))  # c5 goes without f2
+    df = df.withColumn("c7", F.when(F.col("id") % 9 > 0, F.col("c7")).otherwise(float("inf"))).cache()
+    train, test = df.where("id < 3000"), df.where("id >= 5900")
+    got = models.leave_one_out(train, test, "fam", COLUMNS, F.col("y"), "f0", ["id"], trees=3, depth=6).collect()
+    assert written == [1]  # before: a table for each family
+    for g in ("f1", "f2", "f3"):
+        alone = models.fit(train.where(F.col("fam") != g), COLUMNS, F.col("y"), trees=3, depth=6)
+        assert ("c5" in alone.prep.kept) == (g != "f2")
+        assert {r["id"]: r["p"] for r in got if r["held"] == g} == {r["id"]: r["p"] for r in alone.score(test, ["id"]).collect()}
+    monkeypatch.setattr(forest, "CUT_ROWS", 500)  # cuts from some rows
+    some = models.leave_one_out(train, test, "fam", COLUMNS, F.col("y"), "f0", ["id", "y"], trees=20, depth=6)
+    assert some.agg(F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("double"))).first()[0] > 0.65
+    with pytest.raises(Exception, match="truth"):
+        models.leave_one_out(train, test, "fam", COLUMNS, F.lit(None), "f0", ["id"], trees=1, depth=1)
+
+
+def test_preprocessing_of_all_rows_comes_with_that_without_each_group(spark, table):
+    from flowquarry.operators import features
+
+    df = table.where("id < 600").withColumn("fam", F.concat(F.lit("f"), F.col("id") % 3))
+    got = features.fit_preprocessors_without(df, COLUMNS, "fam", ["f1", "no family"])
+    assert got["no family"] == features.fit_preprocessor(df, COLUMNS) and got["f1"] == features.fit_preprocessor(df.where("fam <> 'f1'"), COLUMNS)
