@@ -261,3 +261,16 @@ def test_preprocessing_of_all_rows_comes_with_that_without_each_group(spark, tab
     df = table.where("id < 600").withColumn("fam", F.concat(F.lit("f"), F.col("id") % 3))
     got = features.fit_preprocessors_without(df, COLUMNS, "fam", ["f1", "no family"])
     assert got["no family"] == features.fit_preprocessor(df, COLUMNS) and got["f1"] == features.fit_preprocessor(df.where("fam <> 'f1'"), COLUMNS)
+
+
+def test_rates_by_label_alone_need_no_stored_scores_and_are_those_of_the_comparison(spark, table, monkeypatch):
+    from flowquarry.operators import detector
+
+    df = table.withColumn("label", F.when(F.col("id") % 5 > 0, F.concat(F.lit("l"), F.col("id") % 4)))
+    train, val, test = df.where("id < 200"), df.where("id between 200 and 249"), df.where("id between 300 and 499")
+    specs = ("majority_class", "logistic_regression", "decision_tree", "random_forest")
+    want = detector.compare(train, val, test, COLUMNS, F.col("y"), "label", specs=specs, trees=3, depth=3)[1]
+    monkeypatch.setattr(detector, "stored", lambda d: pytest.fail("scores of a split stored"))
+    got = detector.label_rates(train, test, COLUMNS, F.col("y"), "label", specs=specs, trees=3, depth=3)
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 5
